@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontam, minhash, nndescent, quality, secrets, sharding, urls
+from ledgerlens.llm import bpe, decontam, html_extract, minhash, nndescent, quality, secrets, sharding, urls
 from ledgerlens.session import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dups": op4_near_dups,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_main_text": op7_main_text,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_vectors": op10_vectors,
