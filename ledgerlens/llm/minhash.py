@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.hashing import U, mix, shingle_set
+from ledgerlens.llm.joins import by_ids
 from ledgerlens.operators.components import connected_components
 from ledgerlens.session import checkpoint
 
-#: Slots of a band, chance of missing a pair at the threshold, bytes of text hashed at once, ids that may be broadcast.
-BAND_ROWS, MISS, BLOCK_BYTES, BROADCAST_IDS = 4, 1e-7, 1_000_000, 4_000_000
+#: Slots of a band, chance of missing a pair at the threshold, bytes of text hashed at once.
+BAND_ROWS, MISS, BLOCK_BYTES = 4, 1e-7, 1_000_000
 
 
 def band_count(percent: int) -> int:
@@ -105,12 +106,6 @@ def signatures(df: DataFrame, key: str, text: str, width: int, bands: int) -> Da
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set_key binary, bands array<long>")
 
 
-def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (distinct); its count decides between a broadcast and a shuffle."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
-
-
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """``rep, items`` (sorted distinct shingles as bytes) from ``rep, text``."""
 
@@ -156,7 +151,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     ids = members.select("rep").distinct()
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    named = semi_join(texts, ids, "rep")
+    named = by_ids(texts, ids, "rep")
     sets = checkpoint(shingle_sets(named, width).where("length(items) > 0").dropDuplicates(["rep", "items"]))
     own = classes.select("rep", "set_key")
     sets = _named_sets(sets, own)

@@ -101,25 +101,39 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return np.frombuffer(got[0].weights, dtype=np.float32), got[0].bias
 
 
+def chance(text: str | None, model: tuple[np.ndarray, float]) -> float:
+    """The learnt chance of class 1 of one text."""
+    weights, bias = model
+    total, n = 0.0, 0
+    for f in features(text):
+        total += float(weights[f].sum(dtype=np.float64))
+        n += len(f)
+    return 1 / (1 + np.exp(-(total / max(1, n) + bias)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` of every row: the learnt chance of class 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
         for batch in batches:
-            scores = []
-            for t in batch.column(1):
-                total, n = 0.0, 0
-                for f in features(t.as_py()):
-                    total += float(weights[f].sum(dtype=np.float64))
-                    n += len(f)
-                scores.append(1 / (1 + np.exp(-(total / max(1, n) + bias))))
+            scores = [chance(t.as_py(), shared.value) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ACCEPT or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([chance(t.as_py(), shared.value) >= ACCEPT for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, held_out, score, predicted`` of every document."""
     scored = score(docs, train(docs, labels, key), key)
