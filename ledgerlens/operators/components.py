@@ -1,9 +1,10 @@
 """Connected components by randomised contraction.
 
-Every round maps each vertex to the neighbour (or itself) that comes first in a pseudo-random order drawn for the
-round, follows that pointer once more, and contracts the edges. The number of live vertices falls by a constant factor
-whatever the graph's shape, a hub with a third of all edges included: its edges are pre-aggregated before the
-shuffle (``min_by`` is algebraic) and vanish in one or two rounds. No task ever holds a component.
+Every round maps each vertex to the neighbour (or itself) that comes first, follows that pointer once more, and
+contracts the edges. First come vertices of more neighbours, by powers of two, so that the leaves of a star join its
+hub at once; among equals a pseudo-random order drawn for the round decides, so that the number of live vertices falls
+by a constant factor on chains too. What a hub's edges contribute is pre-aggregated before the shuffle (minimum and
+count are algebraic). No task ever holds a component.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while not live.isEmpty():
         salt = F.lit(len(steps) + 1)
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        best = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("p"))).alias("b"))
-        one = best.select("u", F.when(F.struct(F.xxhash64("u", salt).alias("h"), F.col("u").alias("p")) < F.col("b"), F.col("u")).otherwise(F.col("b.p")).alias("p"))
+        ranks = both.groupBy("u").agg(F.count("*").alias("n")).select("u", F.struct((-F.floor(F.log2("n"))).alias("d"), F.xxhash64("u", salt).alias("h"), F.col("u").alias("p")).alias("r"))
+        best = both.join(ranks.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v").groupBy("u").agg(F.min("rv").alias("b"))
+        one = ranks.join(best, "u").select("u", F.least("r", "b")["p"].alias("p"))
         two = one.alias("a").join(one.alias("b"), F.col("a.p") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.p").alias("p"))
         step = checkpoint(two)
         steps.append(step)
