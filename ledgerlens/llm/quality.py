@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.hashing import U
 
-#: Bound of the training sample; buckets of the embedding table and their dimensions; passes; learning rate at the start.
-TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE, SEED = 4000, 1 << 17, 8, 4, 0.6, 17
+#: Bound of the training sample; buckets of the embedding table and their dimensions; steps of training, whatever the sample's size; learning rate at the start.
+TRAIN_ROWS, BUCKETS, DIM, STEPS, RATE, SEED = 4000, 1 << 17, 8, 16_000, 0.6, 17
 FOLDS, ACCEPT = 5, 0.3
 #: Bytes of text whose n-grams are hashed at once.
 BLOCK_BYTES = 1 << 20
@@ -59,10 +59,10 @@ def fit(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float]
         docs.append((at, (count / max(1, count.sum())).astype(np.float32)))
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    steps, done = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(docs)):
-            rate = RATE * (1 - done / steps)
+    done = 0
+    while done < STEPS:
+        for i in rng.permutation(len(docs))[: STEPS - done]:
+            rate = RATE * (1 - done / STEPS)
             done += 1
             at, share = docs[i]
             mean = share @ table[at] if len(at) else np.zeros(DIM, dtype=np.float32)
