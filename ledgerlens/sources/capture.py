@@ -77,10 +77,10 @@ def canonical(rows: DataFrame) -> DataFrame:
 def pairs(addresses: Column, amounts: Column) -> Column:
     """Addresses with their amounts, sorted; what is missing on either side is an empty string."""
     both = F.arrays_zip(F.coalesce(addresses, F.array().cast("array<string>")).alias("a"), F.coalesce(amounts, F.array().cast("array<string>")).alias("b"))
-    return F.array_sort(F.transform(both, lambda p: F.concat_ws("=", F.coalesce(p["0"], F.lit("")), F.coalesce(p["1"], F.lit("")))))
+    return F.array_sort(F.transform(both, lambda p: F.concat_ws("=", F.coalesce(p["a"], F.lit("")), F.coalesce(p["b"], F.lit("")))))
 
 
-def chain_key(df: DataFrame) -> Column:
+def chain_key() -> Column:
     """Digest of what the chain says about a transaction."""
     return F.sha2(F.concat_ws("|", "txid", F.array_join(pairs(F.col("input_addresses"), F.col("input_amounts")), ","), F.array_join(pairs(F.col("output_addresses"), F.col("output_amounts")), ","), F.coalesce(F.col("fee").cast("string"), F.lit("")), F.coalesce("script_type", F.lit(""))), 256)
 
