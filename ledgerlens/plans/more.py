@@ -163,6 +163,6 @@ def m_score(spark, d):
     rows = A.address_profile(e, V.transactions(e)).join(_classes(spark, d), "address").fillna(0.0, names).withColumn("label", (F.col("class") == 1).cast("double"))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).withColumn("fold", F.pmod(F.xxhash64("address"), F.lit(4)))
     model = GBTClassifier(maxIter=8, maxDepth=3, seed=1).fit(rows.where("fold > 0"))
-    scored = model.transform(rows).withColumn("raw", vector_to_array("probability")[1])
+    scored = model.transform(rows).withColumn("raw", vector_to_array("probability")[1]).drop("prediction")
     calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored.where("fold = 0")).transform(scored)
     return calibrated.select("address", "label", F.round("raw", 6).alias("raw"), F.round("prediction", 6).alias("score"))
