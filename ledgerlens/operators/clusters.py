@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.components import connected_components
-from ledgerlens.operators.transactions import star_edges
+from ledgerlens.operators.transactions import change_candidates, star_edges
 
 
 def monthly_clusters(edge: DataFrame) -> DataFrame:
@@ -18,6 +19,18 @@ def monthly_clusters(edge: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("step", "address", F.coalesce("component_id", "node").alias("cluster_id"))
 
 
+def monthly_clusters_with_change(edge: DataFrame) -> DataFrame:
+    """The same with each step's chosen change outputs joined to their senders."""
+    node = lambda c: F.concat_ws(":", F.lpad(F.col("step").cast("string"), 3, "0"), c)
+    stars = star_edges(edge).select(node("center").alias("src"), node("address").alias("dst"))
+    ins = edge.where("role = 'in'")
+    sender = ins.groupBy("txid", "step").agg(F.min_by("address", F.struct("pos", "address")).alias("sender"))
+    change = change_candidates(edge).where("chosen").select("txid", "address").join(sender, "txid").where("address <> sender")
+    found = connected_components(stars.unionByName(change.select(node("sender").alias("src"), node("address").alias("dst")))).withColumnRenamed("vertex", "node")
+    nodes = ins.select("step", "address").union(change.select("step", "address")).distinct().withColumn("node", node("address"))
+    return nodes.join(found, "node", "left").select("step", "address", F.coalesce("component_id", "node").alias("cluster_id"))
+
+
 def cluster_summary(edge: DataFrame, clusters: DataFrame) -> DataFrame:
     ins = edge.where("role = 'in'").join(clusters, ["step", "address"])
     return ins.groupBy("cluster_id").agg(F.count_distinct("address").alias("n_addresses"), F.count_distinct("txid").alias("n_txs"), F.round(F.sum("amount"), 2).alias("total_amount"))
@@ -80,3 +93,17 @@ def macro(cells: DataFrame) -> DataFrame:
     split, merged = F.col("clusters") > 1, F.col("foreign") > 0
     verdict = F.when(split & merged, "SPLIT+MERGED").when(split, "SPLIT").when(merged, "MERGED").otherwise("PERFECT")
     return out.select("entity", "members", "clusters", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), verdict.alias("verdict"))
+
+
+def permuted_pairs(clusters: DataFrame, entities: DataFrame, trials: int) -> DataFrame:
+    """Same-cluster pairs of one entity: as they are (trial 0) and with the entities dealt anew among the addresses in each trial.
+
+    The order of a trial is that of a digest of trial and address, so that it can be repeated anywhere.
+    """
+    own = clusters.join(entities, "address").select("cluster_id", F.concat_ws("|", "cluster_id", "address").alias("member"), "entity")
+    every = own.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    plain, mixed = W.partitionBy("trial").orderBy("member"), W.partitionBy("trial").orderBy(F.md5(F.concat_ws("|", F.col("trial").cast("string"), "member").cast("binary")), "member")
+    slot = every.select("trial", "cluster_id", F.row_number().over(plain).alias("place"))
+    dealt = every.select("trial", "entity", F.when(F.col("trial") == 0, F.row_number().over(plain)).otherwise(F.row_number().over(mixed)).alias("place"))
+    cells = slot.join(dealt, ["trial", "place"]).groupBy("trial", "cluster_id", "entity").agg(F.count("*").alias("n"))
+    return cells.groupBy("trial").agg(F.sum(pairs(F.col("n"))).cast("long").alias("pairs"))

@@ -94,3 +94,12 @@ def duplicate_features(df: DataFrame, columns: Sequence[str], tolerance: float =
     wide = df.agg(*[F.max(F.abs(F.col(a) - F.col(b))).alias(f"d{i}") for i, (a, b) in enumerate(found)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"d{i}").cast("double"), 4).alias("largest")) for i, (a, b) in enumerate(found)])
     return wide.select(F.inline(rows)).withColumn("duplicate", F.col("largest") <= tolerance)
+
+
+def slice_metrics(scored: DataFrame, by: str) -> DataFrame:
+    """Average precision and prevalence of each slice, from ``by, score, label``."""
+    down = W.partitionBy(by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    c = scored.groupBy(by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("p", F.sum("pos").over(W.partitionBy(by)))
+    out = c.groupBy(by).agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum(F.when(F.col("p") > 0, F.col("pos") / F.col("p") * F.col("tp") / F.col("seen"))).alias("ap"))
+    return out.select(by, "n", "positives", F.round("ap", 6).alias("average_precision"), F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scalars as L
 from ledgerlens.operators import addresses as A
 from ledgerlens.operators import chains as P
+from ledgerlens.operators import clusters as C
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import transactions as X
 from ledgerlens.plans import views as V
-from ledgerlens.plans.catalog import CLUSTERS, FLOWS, MODE, SCORED, _clusters, _classes, _scored, query
-from ledgerlens.session import table
+from ledgerlens.plans.catalog import CLUSTERS, FLOWS, MODE, ORACLE, SCORED, STAR, _clusters, _classes, _scored, query
+from ledgerlens.session import checkpoint, table
+from ledgerlens.sources import capture as S
+from ledgerlens.sources import labels as B
 
 
 def _brands(spark, d):
@@ -166,3 +169,75 @@ def m_score(spark, d):
     scored = model.transform(rows).withColumn("raw", vector_to_array("probability")[1]).drop("prediction")
     calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored.where("fold = 0")).transform(scored)
     return calibrated.select("address", "label", F.round("raw", 6).alias("raw"), F.round("prediction", 6).alias("score"))
+
+
+CHANGE = ORACLE["g_change"].removeprefix(V.EDGE).removeprefix(", ").replace("SELECT txid, pos, address, score, score = top", "picked AS (SELECT txid, pos, address, score, score = top").rsplit(" FROM t", 1)[0].replace("t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q) picked", "t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q), picked") + " FROM t)"
+
+
+@query(
+    "m_compare",
+    f"WITH RECURSIVE {V.EDGE_SQL}, {STAR}, {CHANGE}"
+    + """, sender AS (SELECT txid, step, address AS sender FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY pos, address) AS rn FROM edge WHERE role = 'in') WHERE rn = 1),
+ chg AS (SELECT c.txid, step, sender, address FROM picked c JOIN sender USING (txid) WHERE chosen AND address <> sender), nodes AS (SELECT DISTINCT step, address, lpad(step::VARCHAR, 3, '0') || ':' || address AS node FROM edge WHERE role = 'in'),
+ nodes2 AS (SELECT * FROM nodes UNION SELECT step, address, lpad(step::VARCHAR, 3, '0') || ':' || address FROM chg), links AS (SELECT lpad(step::VARCHAR, 3, '0') || ':' || center AS src, lpad(step::VARCHAR, 3, '0') || ':' || address AS dst FROM star),
+ links2 AS (SELECT * FROM links UNION SELECT lpad(step::VARCHAR, 3, '0') || ':' || sender, lpad(step::VARCHAR, 3, '0') || ':' || address FROM chg), und AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), und2 AS (SELECT src, dst FROM links2 UNION SELECT dst, src FROM links2),
+ reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT dst, root FROM reach JOIN und ON node = src), reach2(node, root) AS (SELECT node, node FROM nodes2 UNION SELECT dst, root FROM reach2 JOIN und2 ON node = src),
+ a AS (SELECT node, min(root) AS c FROM reach GROUP BY 1), b AS (SELECT node, min(root) AS c FROM reach2 GROUP BY 1), s AS (SELECT 'inputs' AS mode, c, count(*) AS n FROM a GROUP BY c UNION ALL SELECT 'inputs+change', c, count(*) FROM b GROUP BY c)
+ SELECT mode, sum(n)::BIGINT AS addresses, count(*) AS clusters, (sum(n) - count(*))::BIGINT AS merges, max(n) AS largest FROM s GROUP BY mode""",
+)
+def m_compare(spark, d):
+    """Clusters by common inputs, and with change outputs added."""
+    e = checkpoint(V.edges(spark, d))
+    both = C.monthly_clusters(e).withColumn("mode", F.lit("inputs")).unionByName(C.monthly_clusters_with_change(e).withColumn("mode", F.lit("inputs+change")))
+    size = both.groupBy("mode", "cluster_id").agg(F.count("*").alias("n"))
+    return size.groupBy("mode").agg(F.sum("n").alias("addresses"), F.count("*").alias("clusters"), (F.sum("n") - F.count("*")).alias("merges"), F.max("n").alias("largest"))
+
+
+@query(
+    "m_perm",
+    CLUSTERS
+    + """, own AS (SELECT cluster_id, cluster_id || '|' || address AS member, p_brand AS entity FROM clusters JOIN part ON address = 'A' || p_partkey), t AS (SELECT unnest(range(0, 6))::INT AS trial), ev AS (SELECT * FROM own, t),
+ slot AS (SELECT trial, cluster_id, row_number() OVER (PARTITION BY trial ORDER BY member) AS place FROM ev), dealt AS (SELECT trial, entity, CASE WHEN trial = 0 THEN row_number() OVER (PARTITION BY trial ORDER BY member) ELSE row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || member), member) END AS place FROM ev),
+ cells AS (SELECT trial, cluster_id, entity, count(*) AS n FROM slot JOIN dealt USING (trial, place) GROUP BY ALL) SELECT trial, sum(n * (n - 1) / 2)::BIGINT AS pairs FROM cells GROUP BY trial""",
+)
+def m_perm(spark, d):
+    return C.permuted_pairs(_clusters(spark, d)[1], _brands(spark, d).drop("risk"), 5)
+
+
+@query(
+    "m_scorecard",
+    SCORED
+    + """, l AS (SELECT s.*, lang FROM s JOIN documents ON id = doc_id), g AS (SELECT lang, score, sum(label) AS pos, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY lang) AS p FROM g WINDOW w AS (PARTITION BY lang ORDER BY score DESC))
+ SELECT lang, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS positives, round(sum(CASE WHEN p > 0 THEN pos / p * tp / seen END), 6) AS average_precision, round(sum(pos) / sum(n), 6) AS prevalence FROM c GROUP BY lang""",
+)
+def m_scorecard(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return M.slice_metrics(_scored(spark, d).join(docs, "id"), "lang")
+
+
+@query(
+    "src_labels",
+    """WITH r AS (SELECT 'A' || l_partkey AS address, CASE WHEN l_linenumber % 3 = 0 THEN ' ' || upper(p_type) ELSE p_type END AS raw0, l_partkey % 50 = l_linenumber AS odd FROM lineitem JOIN part ON l_partkey = p_partkey),
+ n AS (SELECT address, trim(CASE WHEN odd THEN 'other' ELSE raw0 END) AS raw FROM r WHERE regexp_matches(address, '^A[0-9]*[02468]$')), m AS (SELECT address, raw, lower(raw) AS entity FROM n WHERE raw <> ''),
+ o AS (SELECT address, min(entity) AS entity, count(*) AS rows FROM m GROUP BY 1 HAVING count(DISTINCT entity) = 1), q AS (SELECT entity, raw, count(*) AS c FROM m GROUP BY ALL), d AS (SELECT entity, raw AS display FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY c DESC, raw) AS rn FROM q) WHERE rn = 1)
+ SELECT address, entity, display, rows FROM o JOIN d USING (entity)""",
+)
+def src_labels(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_linenumber").join(parts, "l_partkey")
+    name = F.when(F.col("l_partkey") % 50 == F.col("l_linenumber"), "other").when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), F.upper("p_type"))).otherwise(F.col("p_type"))
+    return B.clean_labels(rows.select(F.concat(F.lit("A"), F.col("l_partkey").cast("string")).alias("address"), name.alias("entity")), "^A[0-9]*[02468]$")
+
+
+@query("o_point", V.EDGE + "SELECT txid, pos, address, role, amount FROM edge WHERE address = 'A42'")
+def o_point(spark, d):
+    """One address's rows: the key is pushed down to the scan."""
+    lines = table(spark, d, "lineitem").where("l_partkey = 42")
+    return lines.select(F.col("l_orderkey").alias("txid"), F.col("l_linenumber").alias("pos"), F.lit("A42").alias("address"), F.when(F.col("l_linenumber") % 2 == 1, "in").otherwise("out").alias("role"), F.col("l_extendedprice").alias("amount"))
+
+
+@query("agg_geo", f"WITH e AS (SELECT (event_id * 2654435 + user_id * 16777259) % 4294967296 AS ip, user_id FROM events), c AS (SELECT ip, user_id, {{}} AS ip_class FROM e) SELECT ip_class, count(DISTINCT ip) AS ips, count(DISTINCT user_id) AS peers FROM c GROUP BY 1".replace("{}", ORACLE["f_ip_class"].split("SELECT event_id, ", 2)[2].split(" AS ip_class")[0]))
+def agg_geo(spark, d):
+    """Distinct addresses and peers of each address class."""
+    ip = (F.col("event_id") * 2654435 + F.col("user_id") * 16777259) % 4294967296
+    return table(spark, d, "events").select(ip.alias("ip"), "user_id", S.ip_class(ip).alias("ip_class")).groupBy("ip_class").agg(F.count_distinct("ip").alias("ips"), F.count_distinct("user_id").alias("peers"))
