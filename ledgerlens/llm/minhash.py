@@ -9,9 +9,10 @@
 3. Signatures are cut into bands. In each bucket of classes that share a band one hub is drawn, the same order in all
    buckets, and every member is held against the hub only.
 4. Pairs are verified on full sets, and links joined into components.
-5. Buckets whose members still are in several components are finished exactly: members outside the hub's component are
-   held against all others, less the pairs that counts rule out. (A shingle that no other class of these buckets has
-   can't be in an intersection: with c shingles left, 2c must reach what the threshold asks of both sizes.)
+5. Buckets whose members still are in several components are finished exactly, by an inverted index of their classes
+   with prefix and positional filters (Xiao et al. 2008): shingles stand from rare to frequent, two sets that link share
+   one among the first few of each, and the places of the first shared one bound what both can share. In a large
+   family of variants these first shingles are those that the variants' own edits made, so that few pairs meet.
 
 The number of bands makes the chance that a pair at the threshold shares none below ``MISS``.
 
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.hashing import U, mix, shingle_set
@@ -187,12 +189,12 @@ def _finish(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     main = comp.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
     placed = members.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(main, "hub", "left").withColumn("main", F.coalesce("main", "hub"))
     placed = checkpoint(placed)
-    loose = placed.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("loose"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_ = placed.join(loose.select("bucket").distinct(), "bucket", "left_semi")
+    several = placed.where("comp <> main").select("bucket").distinct()
+    open_ = placed.join(several, "bucket", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("loose"))
+    open_ = checkpoint(open_)
     if open_.isEmpty():
         return None
-    open_ = checkpoint(open_)
-    items = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+    items = sets.join(open_.select("rep"), "rep", "left_semi")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,10 +204,13 @@ def _finish(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
                 rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(g) for g in got])
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.concatenate(got), pa.int64())], names=["rep", "item"])
 
-    alone = items.mapInArrow(spread, "rep long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    able = open_.join(alone, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * c >= {percent} * n")
-    able = checkpoint(able.select("bucket", "rep", "n", "c", "comp", "main", "hub"))
-    a, b = able.where("comp <> main").alias("a"), able.alias("b")
-    fits = f"a.bucket = b.bucket AND a.comp <> b.comp AND b.rep <> b.hub AND (b.comp = b.main OR a.rep < b.rep) AND {100 + percent} * least(a.c, b.c) >= {percent} * (a.n + b.n)"
+    each = checkpoint(items.mapInArrow(spread, "rep long, item long"))
+    often = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    rarest = W.partitionBy("rep").orderBy("df", "item")
+    ranked = each.join(often, "item").withColumn("shared", F.count("*").over(W.partitionBy("rep"))).withColumn("nth", F.row_number().over(rarest)).join(open_, "rep")
+    ranked = ranked.withColumn("place", F.col("n") - F.col("shared") + F.col("nth"))
+    prefix = checkpoint(ranked.where(f"100 * (place - 1) <= {100 - percent} * n").select("item", "rep", "n", "comp", "loose", "place"))
+    a, b = prefix.where("loose").alias("a"), prefix.alias("b")
+    fits = f"a.item = b.item AND a.comp <> b.comp AND (a.rep < b.rep OR NOT b.loose) AND {100 + percent} * (1 + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
     rest = a.join(b, F.expr(fits)).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
     return checkpoint(verify(rest, sets, percent))
