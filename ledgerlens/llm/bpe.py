@@ -19,12 +19,15 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Characters of text that are cut into words at once; words that a task remembers; words in one DuckDB block.
-TEXT_BLOCK, MEMO_WORDS, WORD_BLOCK = 3_000_000, 100_000, 40_000
+from ledgerlens.llm.hashing import tidy
+
+#: Bytes of text that are cut into words at once; words that a task remembers; words in one DuckDB block.
+TEXT_BLOCK, MEMO_WORDS, WORD_BLOCK = 1_500_000, 80_000, 40_000
 #: Words of more characters are long.
 LONG_WORD = 200
 
@@ -163,15 +166,15 @@ def _codec(key: bytes, shared, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size > TEXT_BLOCK:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -189,9 +192,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(mark, shared, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _blocks(texts):
-                words = [codec.cut(t) for t in texts[a:b]]
+            for a, b in _blocks(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                words = [codec.cut(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
                 memo = codec.learn(set().union(*words))
                 cols: list[list] = [[], [], [], []]
                 for own in words:
@@ -207,7 +209,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
                     arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
-    return df.select(key, text).mapInArrow(run, T.StructType(fields))
+    return df.select(key, text).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -224,4 +226,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
                 got = codec.decode([r or [] for r in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=[key, "decoded"])
 
-    return df.select(key, ids).mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("decoded", T.BinaryType())]))
+    return df.select(key, ids).mapInArrow(tidy(run), T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("decoded", T.BinaryType())]))

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 
 
+def tidy(run):
+    """A task's function over batches that gives freed memory back to the system at its end, so that idle workers stay small."""
+
+    @functools.wraps(run)
+    def wrapped(*batches):
+        yield from run(*batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.llm.hashing import tidy
+
 #: Bound of the training sample; composed pages for each sampled one; trees, their depth, learning rate, bins, leaf penalty.
 TRAIN_PAGES, COMPOSED, TREES, DEPTH, RATE, BINS, PENALTY, SEED = 150, 4, 60, 4, 0.25, 32, 1.0, 11
 
@@ -417,4 +419,4 @@ def extract(pages: DataFrame, model: dict, source: str = "html", keep: tuple[str
                 texts = [main_text(p, decode(p, o)) for p, o in zip(trees, np.split(odds, ends[:-1]), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in fields])
 
-    return pages.select(*keep, source).mapInArrow(run, T.StructType(fields))
+    return pages.select(*keep, source).mapInArrow(tidy(run), T.StructType(fields))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import U
+from ledgerlens.llm.hashing import U, tidy
 
 #: Bound of the training sample; buckets of the embedding table and their dimensions; steps of training, whatever the sample's size; learning rate at the start.
 TRAIN_ROWS, BUCKETS, DIM, STEPS, RATE, SEED = 4000, 1 << 17, 8, 16_000, 0.6, 17
@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
             scores = [chance(t.as_py(), shared.value) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
@@ -131,7 +131,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text
         for batch in batches:
             yield batch.filter(pa.array([chance(t.as_py(), shared.value) >= ACCEPT for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
