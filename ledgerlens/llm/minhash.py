@@ -9,6 +9,7 @@
 3. Signatures are cut into bands. In each bucket of classes that share a band one hub is drawn, the same order in all
    buckets, and every member is held against the hub only.
 4. Pairs are verified on full sets, and links joined into components.
+   Where a bucket's members are left in several components, a second hub is drawn, each bucket for itself.
 5. Buckets whose members still are in several components are finished exactly, by an inverted index of their classes
    with prefix and positional filters (Xiao et al. 2008): shingles stand from rare to frequent, two sets that link share
    one among the first few of each, and the places of the first shared one bound what both can share. In a large
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import U, mix, shingle_set
+from ledgerlens.llm.hashing import U, mix, shingle_set, tidy
 from ledgerlens.llm.joins import by_ids
 from ledgerlens.operators.components import connected_components
 from ledgerlens.session import checkpoint
@@ -77,15 +79,15 @@ def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return sig
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size > BLOCK_BYTES:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int, bands: int) -> DataFrame:
@@ -95,9 +97,8 @@ def signatures(df: DataFrame, key: str, text: str, width: int, bands: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
-                sets = [shingle_set(t, width) for t in texts[a:b]]
+            for a, b in _blocks(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                sets = [shingle_set(t.as_py(), width) for t in batch.column(1).slice(a, b - a)]
                 parts = superminhash(sets, slots).reshape(len(sets), bands, BAND_ROWS)
                 keys = np.broadcast_to(salt, (len(sets), bands)).copy()
                 for r in range(BAND_ROWS):
@@ -107,7 +108,7 @@ def signatures(df: DataFrame, key: str, text: str, width: int, bands: int) -> Da
                 kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["id", "n", "set_key", "bands"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set_key binary, bands array<long>")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidy(run), "id long, n long, set_key binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -120,7 +121,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "items"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, items binary")
+    return texts.select("rep", "text").mapInArrow(tidy(run), "rep long, items binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,7 +141,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b")
     both = left.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a")
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "items_a", "items_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -161,8 +162,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     sets = _named_sets(sets, own)
     links = checkpoint(verify(pairs, sets, percent))
     found = connected_components(links, "a", "b")
-    more = _finish(members, found, sets, percent)
-    if more is not None:
+    for step in (_other_hubs, _finish):
+        more = step(_open_buckets(members, found), sets, percent)
+        if more is None:
+            break
         links = links.unionByName(more)
         found = connected_components(links, "a", "b")
     groups = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
@@ -182,17 +185,31 @@ def _named_sets(sets: DataFrame, own: DataFrame) -> DataFrame:
     repeated = sets.groupBy("rep").count().where("count > 1")
     if repeated.isEmpty():
         return sets
-    return sets.mapInArrow(run, "rep long, items binary, set_key binary").join(own, ["rep", "set_key"]).select("rep", "items")
+    return sets.mapInArrow(tidy(run), "rep long, items binary, set_key binary").join(own, ["rep", "set_key"]).select("rep", "items")
 
 
-def _finish(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between classes of a bucket that its hub leaves in different components."""
+def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that are in several components, with their component and that of the hub."""
     comp = found.select(F.col("vertex").alias("rep"), F.col("component_id").alias("comp"))
     main = comp.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
     placed = members.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(main, "hub", "left").withColumn("main", F.coalesce("main", "hub"))
     placed = checkpoint(placed)
     several = placed.where("comp <> main").select("bucket").distinct()
-    open_ = placed.join(several, "bucket", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("loose"))
+    return checkpoint(placed.join(several, "bucket", "left_semi"))
+
+
+def _other_hubs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links to a second hub, drawn for each bucket by itself: a class meets as many different ones as it has open buckets."""
+    if placed.isEmpty():
+        return None
+    drawn = placed.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("hub2"), F.col("comp").alias("main2")), F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("h"))
+    pairs = placed.join(drawn, "bucket").where("comp <> h.main2").select(F.least("rep", "h.hub2").alias("a"), F.greatest("rep", "h.hub2").alias("b")).distinct()
+    return checkpoint(verify(pairs, sets, percent))
+
+
+def _finish(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between classes of a bucket that the hubs leave in different components."""
+    open_ = placed.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("loose"))
     open_ = checkpoint(open_)
     if open_.isEmpty():
         return None
@@ -215,8 +232,8 @@ def _finish(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(w) for w in words.T.copy()]], names=["rep", *parity])
 
     parity = [f"w{i}" for i in range(BITS // 64)]
-    folded = items.mapInArrow(fold, "rep long, " + ", ".join(f"{w} long" for w in parity))
-    each = checkpoint(items.mapInArrow(spread, "rep long, item long"))
+    folded = items.mapInArrow(tidy(fold), "rep long, " + ", ".join(f"{w} long" for w in parity))
+    each = checkpoint(items.mapInArrow(tidy(spread), "rep long, item long"))
     often = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     rarest = W.partitionBy("rep").orderBy("df", "item")
     ranked = each.join(often, "item").withColumn("shared", F.count("*").over(W.partitionBy("rep"))).withColumn("nth", F.row_number().over(rarest)).join(open_, "rep")
