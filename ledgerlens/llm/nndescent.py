@@ -6,12 +6,14 @@
 3. Descent: a pivot's list and the points that list the pivot meet in one small group, pairs of the group are
    compared, and those better than a member's worst partner go to its list; until few lists change. Lists keep partners
    of cosine ``FLOOR`` or more: two partners of one point at 0.9 are never below 0.62 to each other.
-4. Edges at the threshold join points into components. Lists that are full of links are enlarged to their whole
-   component: links are counted there without a bound on their number. By the angles to the component's first point
-   most pairs are certain (the sum of two angles is within the threshold's); counts by angle settle these, and only
-   what is left is compared pair by pair, in blocks.
+4. Edges at the threshold join points into components. A list that is full of links may leave out links to other
+   components, where the other end's list is full too. Such points are compared across components exactly: in blocks
+   with a center and a radius, of which only those near enough to each other meet. Within the components so joined,
+   links are counted without a bound on their number. By the angles to the component's first point most pairs are
+   certain (the sum of two angles is within the threshold's); counts by angle settle these, and only what is left is
+   compared pair by pair, in blocks.
 5. A bounded sample of vectors is compared with all, exactly. While less than ``RECALL`` of its links is found, steps
-   2 to 4 go on with new hyperplanes, at most ``ROUNDS`` times.
+   2 to 4 go on with new hyperplanes, at most ``ROUNDS`` times; if that does not do, the call raises an error.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths never link. Of several vectors under one id the least counts, for all rows of that id. Null ids link with
@@ -169,14 +171,64 @@ def _block_counts(u: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
     right = v.join(sizes, "comp").select("comp", "node", "v", "m", "bin", cell("nv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)).alias("other"))
     left, right = left.withColumn("cell", F.xxhash64("comp", "own", "other")), right.withColumn("cell", F.xxhash64("comp", "other", "own"))
     right = right.select(*[F.col(c).alias(f"{c}_r") for c in ("cell", "node", "v", "m", "bin")])
-    return left.select("cell", "node", "v", "beyond").groupBy("cell").cogroup(right.groupBy("cell_r")).applyInArrow(_empty_safe(count), "node long, more long").groupBy("node").agg(F.sum("more").alias("more"))
+    return left.select("cell", "node", "v", "beyond").groupBy("cell").cogroup(right.groupBy("cell_r")).applyInArrow(_both(count, "node", "more"), "node long, more long").groupBy("node").agg(F.sum("more").alias("more"))
 
 
-def _empty_safe(count):
+def _centered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Angle of each vector to the center of its block, from ``block, dim, v, center``."""
+    for batch in batches:
+        dim_of = batch.column(1).to_numpy()
+        for dim in np.unique(dim_of):
+            part = batch.filter(pa.array(dim_of == dim))
+            cosine = (_matrix(part.column(2)) * _matrix(part.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["block", "angle"])
+
+
+def links_across(points: DataFrame, edges: DataFrame, found: DataFrame, threshold: float) -> DataFrame | None:
+    """``a, b``: a link of any two blocks of different components that have one between points whose lists are full of links."""
+    full = edges.groupBy("a").agg(F.count("*").alias("k"), F.min("sim").alias("low")).where((F.col("k") >= PARTNERS) & (F.col("low") >= threshold))
+    comps = found.select(F.col("vertex").alias("node"), F.col("component_id").alias("comp"))
+    seats = points.join(full.select(F.col("a").alias("node")), "node").join(comps, "node").select("node", "comp", "dim", "v")
+    parts = seats.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    seats = checkpoint(seats.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts"))
+    centers = seats.groupBy("comp", "part").agg(F.min("node").alias("block"), F.min_by("v", "node").alias("center"))
+    placed = checkpoint(seats.join(centers, ["comp", "part"]).select("block", "comp", "dim", "node", "v", "center"))
+    radius = placed.select("block", "dim", "v", "center").mapInArrow(_centered, "block long, angle double").groupBy("block").agg(F.max("angle").alias("radius"))
+    blocks = checkpoint(placed.where("node = block").select("block", "comp", "dim", F.col("center").alias("v")).join(radius, "block"))
+    if blocks.select("comp").distinct().count() < 2:
+        return None
+    tiles = math.ceil(blocks.count() / BLOCK)
+    reach = math.acos(threshold) + 1e-6
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        get = lambda t, c: t.column(c).to_numpy()
+        angle = np.arccos(np.clip(_matrix(left.column("v").combine_chunks()) @ _matrix(right.column("v_r").combine_chunks()).T, -1, 1))
+        hit = angle <= reach + get(left, "radius")[:, None] + get(right, "radius_r")[None, :]
+        hit &= (get(left, "comp")[:, None] != get(right, "comp_r")[None, :]) & (get(left, "block")[:, None] < get(right, "block_r")[None, :])
+        row, col = np.nonzero(hit)
+        return pa.table({"a": get(left, "block")[row], "b": get(right, "block_r")[col]})
+
+    def first_link(left: pa.Table, right: pa.Table) -> pa.Table:
+        hit = _matrix(left.column("v").combine_chunks()) @ _matrix(right.column("v_r").combine_chunks()).T >= threshold
+        row, col = np.unravel_index(np.flatnonzero(hit)[:1], hit.shape)
+        return pa.table({"a": left.column("node").to_numpy()[row], "b": right.column("node_r").to_numpy()[col]})
+
+    named = lambda df: df.select(*[F.col(c).alias(f"{c}_r") for c in df.columns])
+    tiled = blocks.withColumn("own", F.pmod(F.xxhash64("block"), F.lit(tiles))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    sides = tiled.groupBy("dim", "own", "other"), named(tiled).groupBy("dim_r", "other_r", "own_r")
+    pairs = checkpoint(sides[0].cogroup(sides[1]).applyInArrow(_both(near, "a", "b"), "a long, b long"))
+    left = pairs.join(placed.select(F.col("block").alias("a"), "node", "v"), "a")
+    right = named(pairs.join(placed.select(F.col("block").alias("b"), "node", "v"), "b"))
+    return checkpoint(left.groupBy("a", "b").cogroup(right.groupBy("a_r", "b_r")).applyInArrow(_both(first_link, "a", "b"), "a long, b long"))
+
+
+def _both(count, *names: str):
+    """``count`` where both sides have rows, else a table without rows."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             return count(left, right)
-        return pa.table({"node": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
+        return pa.table({n: pa.array([], pa.int64()) for n in names})
 
     return run
 
@@ -247,11 +299,17 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     for turn in range(ROUNDS):
         more = start_graph(points, turn)
         edges = descend(points, more if edges is None else edges.unionByName(more))
-        found = connected_components(edges.where(F.col("sim") >= threshold), "a", "b")
+        near = edges.where(F.col("sim") >= threshold).select("a", "b")
+        found = checkpoint(connected_components(near, "a", "b"))
+        across = links_across(points, edges, found, threshold)
+        if across is not None and not across.isEmpty():
+            found = connected_components(near.unionByName(across), "a", "b")
         links = checkpoint(count_links(points, found, threshold))
         got, true = audit(points, links, threshold)
         if got >= RECALL * true:
             break
+    else:
+        raise RuntimeError(f"only {got} of {true} links of the audited vectors were found in {ROUNDS} rounds")
     classes = points.join(links, "node", "left").select("v", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.col("m") - 1).alias("links"))
     placed = named.join(classes, "v").select("id", "comp", "links")
     least = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import nndescent, queries
@@ -59,3 +60,26 @@ def test_groups_chains_and_edges(spark):
     assert got(df) == brute(rows)
     assert got(df.limit(0)) == []
     assert got(df.where("vec_id = 7")) == [(7, 0, 7)]
+
+
+def test_links_between_families_whose_lists_are_full(spark):
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.standard_normal((24, 3)))[0].T
+    family = lambda turn: [(np.cos(turn) * axes[0] + np.sin(turn) * axes[1] + 0.012 * rng.standard_normal(24)).tolist() for _ in range(40)]
+    rows = [(i, v) for i, v in enumerate(family(0.0) + family(0.33))]
+    rows += [(100 + i, rng.standard_normal(24).tolist()) for i in range(50)]
+    x = np.array([v for _, v in rows[:80]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert (x[:40] @ x[40:].T).min() >= 0.9
+    assert (x[:40] @ x[:40].T).min() > (x[:40] @ x[40:].T).max()
+    out = got(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert out == brute(rows)
+    assert out[0] == (0, 79, 0) and out[79] == (79, 79, 0)
+
+
+def test_failed_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "audit", lambda *_: (1, 2))
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="1 of 2 links"):
+        got(df)
