@@ -68,3 +68,21 @@ def test_replaced_words_parts_and_edges(spark):
 def test_plan_is_native(spark, sf_dir):
     plan = queries.op3_decontam(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_any_qualifying_run_and_short_items_alone(spark):
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(9000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    long_ = some(164)
+    replaced = [w if i < 14 or i % 25 not in (1, 4, 8, 11, 15, 18, 22) else "zz" for i, w in enumerate(long_)]  # 72 % alike after 14 words
+    docs, items = [(1, some(20) + replaced + some(20))], [(1, long_)]
+    for n in (5, 6, 7, 8, 9):
+        items.append((n * 10, some(n)))
+        docs += [(n * 100 + k, some(15) + [w if i != k else "zz" for i, w in enumerate(items[-1][1])] + some(15)) for k in range(n)]
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    got = decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in docs}
+    assert all(r.n_matches >= 0.8 * r.n_words and r.n_words == r.end - r.start for r in got)
+    alone = decontam.contaminated(frame(docs, "doc_id"), frame([items[4]], "item_id")).collect()
+    assert {r.doc_id for r in alone} == {d for d, _ in docs if 800 <= d < 900}
