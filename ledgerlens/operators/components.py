@@ -5,6 +5,9 @@ contracts the edges. First come vertices of more neighbours, by powers of two, s
 hub at once; among equals a pseudo-random order drawn for the round decides, so that the number of live vertices falls
 by a constant factor on chains too. What a hub's edges contribute is pre-aggregated before the shuffle (minimum and
 count are algebraic). No task ever holds a component.
+
+Rounds shrink the edges, and their partitions with them: one for each ``EDGES`` edges, so that a few thousand edges left
+of a large graph don't cost as many shuffle files as the whole did.
 """
 
 from __future__ import annotations
@@ -16,6 +19,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpoint
 
+#: Edges of a partition.
+EDGES = 50_000
+
+
+def _settled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges ``u, v`` with ``u`` before ``v``, once each, in as many partitions as their number asks for, and that number."""
+    live = checkpoint(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    n = live.count()
+    return live.coalesce(n // EDGES + 1), n
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(vertex, component_id)`` for every vertex of ``edges``; ``component_id`` is the smallest vertex reachable.
@@ -24,20 +37,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = e.where("u = v").select(F.col("u").alias("vertex"))
-    live = checkpoint(e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    live, n = _settled(e.where("u <> v"))
     steps: list[DataFrame] = []
-    while not live.isEmpty():
+    while n:
         salt = F.lit(len(steps) + 1)
-        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = live.select(F.inline(ends))
         ranks = both.groupBy("u").agg(F.count("*").alias("n")).select("u", F.struct((-F.floor(F.log2("n"))).alias("d"), F.xxhash64("u", salt).alias("h"), F.col("u").alias("p")).alias("r"))
         best = both.join(ranks.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v").groupBy("u").agg(F.min("rv").alias("b"))
         one = ranks.join(best, "u").select("u", F.least("r", "b")["p"].alias("p"))
         two = one.alias("a").join(one.alias("b"), F.col("a.p") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.p").alias("p"))
-        step = checkpoint(two)
+        step = checkpoint(two).coalesce(2 * n // EDGES + 1)
         steps.append(step)
         left = live.join(step.select("u", F.col("p").alias("pu")), "u")
-        ends = left.join(step.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        live = checkpoint(ends.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        moved = left.join(step.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        live, n = _settled(moved.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")))
     if not steps:
         return loops.distinct().select("vertex", F.col("vertex").alias("component_id"))
 
@@ -51,3 +65,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     found = roots.join(least, "root").select("vertex", "component_id")
     alone = loops.distinct().join(found, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component_id"))
     return found.unionByName(alone)
+
+
+def joined_components(found: DataFrame, more: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``found`` (``vertex, component_id``) after edges ``more`` were added: rounds run over the components that these join only.
+
+    Endpoints that ``found`` lacks come in as components of their own first.
+    """
+    old = found.select(F.col("vertex"), F.col("component_id").alias("old"))
+    at = lambda df, c: df.join(old.withColumnRenamed("vertex", c), c, "left").withColumn(c, F.coalesce("old", c)).drop("old")
+    between = at(at(more.select(src, dst).where(F.col(src).isNotNull() & F.col(dst).isNotNull()), src), dst)
+    roots = checkpoint(connected_components(between, src, dst)).select(F.col("vertex").alias("old"), F.col("component_id").alias("new"))
+    moved = old.join(roots, "old", "left").select("vertex", F.coalesce("new", "old").alias("component_id"))
+    fresh = roots.join(old.select("old").distinct(), "old", "left_anti").select(F.col("old").alias("vertex"), F.col("new").alias("component_id"))
+    return moved.unionByName(fresh)

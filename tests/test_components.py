@@ -1,6 +1,7 @@
 import random
 
-from ledgerlens.operators.components import connected_components
+from ledgerlens.operators import components
+from ledgerlens.operators.components import connected_components, joined_components
 
 
 def brute(edges):
@@ -34,3 +35,24 @@ def test_shapes(spark):
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     assert [tuple(r) for r in connected_components(spark.createDataFrame([("b", "b")], "src string, dst string")).collect()] == [("b", "b")]
+
+
+def test_joining_components_after_more_edges(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(200)]
+    more = [(rng.randrange(700), rng.randrange(700)) for _ in range(150)] + [(None, 3), (3, None), (900, 900), (901, 902)]
+    found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    got = joined_components(found, spark.createDataFrame(more, "src long, dst long"))
+    want = brute(edges + more)
+    assert {r.vertex: r.component_id for r in got.collect()} == want and got.count() == len(want)
+    none = spark.createDataFrame([], "src long, dst long")
+    assert {r.vertex: r.component_id for r in joined_components(found, none).collect()} == brute(edges)
+    assert joined_components(connected_components(none), none).count() == 0
+
+
+def test_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 100)
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 800)] + [(1000 + i, 1001 + i) for i in range(900)] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(900)]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.vertex: r.component_id for r in got.collect()} == brute(edges)
