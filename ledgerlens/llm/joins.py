@@ -1,4 +1,4 @@
-"""Joins of wide rows with a list of ids, by way of the list's size."""
+"""Joins of wide rows with narrow tables, by way of the narrow table's size."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpoint
 
-#: Ids that may be broadcast.
-BROADCAST_IDS = 4_000_000
+#: Rows of a few numbers that may be broadcast: about 40 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, to be broadcast up to BROADCAST_ROWS and shuffled beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join of ``df`` with distinct ``ids``: broadcast up to BROADCAST_IDS of them, shuffled beyond."""
-    ids = checkpoint(ids)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    """Semi or anti join of ``df`` with distinct ``ids``."""
+    return df.join(narrow(checkpoint(ids)), key, how)

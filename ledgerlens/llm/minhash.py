@@ -37,8 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.hashing import U, mix, shingle_set, tidy
-from ledgerlens.llm.joins import by_ids
-from ledgerlens.operators.components import connected_components
+from ledgerlens.llm.joins import by_ids, narrow
+from ledgerlens.operators.components import connected_components, joined_components
 from ledgerlens.session import checkpoint
 
 #: Slots of a band, chance of missing a pair at the threshold, bytes of text hashed at once, bits of a set's bitmap.
@@ -151,23 +151,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = checkpoint(classes)
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     order = F.struct(F.xxhash64("rep"), F.col("rep"))
-    hubs = banded.groupBy("bucket").agg(F.min_by("rep", order).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = checkpoint(banded.join(hubs, "bucket").select("bucket", "rep", "n", "hub"))
+    hubs = checkpoint(banded.groupBy("bucket").agg(F.min_by("rep", order).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", "hub"))
+    members = checkpoint(banded.join(narrow(hubs), "bucket").select("bucket", "rep", "n", "hub"))
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = members.select("rep").distinct()
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    named = by_ids(texts, ids, "rep")
+    named = by_ids(texts, members.select("rep").distinct(), "rep")
     sets = checkpoint(shingle_sets(named, width).where("length(items) > 0").dropDuplicates(["rep", "items"]))
-    own = classes.select("rep", "set_key")
-    sets = _named_sets(sets, own)
-    links = checkpoint(verify(pairs, sets, percent))
-    found = connected_components(links, "a", "b")
+    sets = _named_sets(sets, classes.select("rep", "set_key"))
+    found = checkpoint(connected_components(checkpoint(verify(pairs, sets, percent)), "a", "b"))
     for step in (_other_hubs, _finish):
         more = step(_open_buckets(members, found), sets, percent)
         if more is None:
             break
-        links = links.unionByName(more)
-        found = connected_components(links, "a", "b")
+        found = checkpoint(joined_components(found, more, "a", "b"))
     groups = classes.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("id", "n", "set_key").join(groups, "set_key", "left")
     least = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
@@ -190,12 +186,11 @@ def _named_sets(sets: DataFrame, own: DataFrame) -> DataFrame:
 
 def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that are in several components, with their component and that of the hub."""
-    comp = found.select(F.col("vertex").alias("rep"), F.col("component_id").alias("comp"))
+    comp = narrow(found).select(F.col("vertex").alias("rep"), F.col("component_id").alias("comp"))
     main = comp.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
     placed = members.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(main, "hub", "left").withColumn("main", F.coalesce("main", "hub"))
-    placed = checkpoint(placed)
-    several = placed.where("comp <> main").select("bucket").distinct()
-    return checkpoint(placed.join(several, "bucket", "left_semi"))
+    several = checkpoint(placed.where("comp <> main").select("bucket").distinct())
+    return checkpoint(placed.join(narrow(several), "bucket", "left_semi"))
 
 
 def _other_hubs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
