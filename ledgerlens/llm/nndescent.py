@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.components import connected_components
+from ledgerlens.operators.components import connected_components, joined_components
 from ledgerlens.session import checkpoint
 
 #: Partners in a list; least cosine in it; tables and points of a chunk at the start; passes; share of changes to stop at.
 PARTNERS, FLOOR, TABLES, CHUNK, PASSES, SETTLED = 12, 0.6, 10, 96, 8, 0.002
 #: Vectors of the audit, share of their links to find, rounds; width of a bin of angles; rows and columns of a block.
 AUDIT, RECALL, ROUNDS, BIN, BLOCK = 400, 0.999, 4, 0.001, 512
+#: Edges and vectors of a partition of a written table.
+EDGES, VECTORS = 200_000, 20_000
 
 
 def usable(v: Column) -> Column:
@@ -106,7 +108,7 @@ def local_joins(rows: DataFrame) -> DataFrame:
 
 def start_graph(points: DataFrame, seed: int) -> DataFrame:
     """Edges within chunks of hyperplane buckets."""
-    n, dims = points.agg(F.count("*"), F.collect_set("dim")).first()
+    n = points.count()
     bits = min(30, max(0, math.ceil(math.log2(max(1, n) / CHUNK))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,7 @@ def start_graph(points: DataFrame, seed: int) -> DataFrame:
                 codes = (codes * TABLES + np.arange(TABLES)) * 4096 + dim % 4096
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(codes), pa.list_(pa.int64()))], names=["node", "v", "codes"])
 
-    dealt = checkpoint(points.select("node", "dim", "v").mapInArrow(deal, "node long, v array<float>, codes array<long>"))
+    dealt = checkpoint(points.select("node", "dim", "v").mapInArrow(deal, f"node long, v {points.schema['v'].dataType.simpleString()}, codes array<long>"))
     bucketed = dealt.select("node", F.explode("codes").alias("code"))
     sizes = bucketed.groupBy("code").agg(F.count("*").alias("n"))
     chunk = F.pmod(F.xxhash64("node", "code", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)))
@@ -130,28 +132,31 @@ def start_graph(points: DataFrame, seed: int) -> DataFrame:
     return local_joins(seats.join(dealt.select("node", "v"), "node").withColumn("worst", F.lit(-2.0)))
 
 
-def _shorten(edges: DataFrame) -> DataFrame:
-    best = W.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= PARTNERS).select("a", "b", "sim")
+def _shorten(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The best partners of each point, from ``a, b, sim, fresh``, with their ``place`` and the list's ``worst`` similarity, and how many of them are new."""
+    own = W.partitionBy("a")
+    once = edges.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    kept = once.withColumn("place", F.row_number().over(own.orderBy(F.desc("sim"), "b"))).where(F.col("place") <= PARTNERS)
+    worst = F.when(F.count("*").over(own) >= PARTNERS, F.min("sim").over(own)).otherwise(-2.0)
+    graph = checkpoint(kept.withColumn("worst", worst))
+    n, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
+    return graph.coalesce(n // EDGES + 1), fresh / max(1, n)
 
 
 def descend(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Lists refined through neighbours of neighbours."""
-    graph = checkpoint(_shorten(edges))
+    graph, _ = _shorten(edges.select("a", "b", "sim", F.lit(1).alias("fresh")))
     for turn in range(PASSES):
-        state = graph.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.when(F.col("n") >= PARTNERS, F.col("low")).otherwise(-2.0).alias("worst"))
         back = W.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)))
         reverse = graph.withColumn("place", F.row_number().over(back)).where(F.col("place") <= PARTNERS).select(F.col("b").alias("grp"), F.col("a").alias("node"))
-        own = graph.select("a").distinct().select(F.col("a").alias("grp"), F.col("a").alias("node"))
-        seats = graph.select(F.col("a").alias("grp"), F.col("b").alias("node")).unionByName(reverse).unionByName(own).distinct()
-        seen = state.join(points.select("node", "v"), "node")
-        fresh = local_joins(seats.join(seen, "node"))
-        before = graph
-        graph = checkpoint(_shorten(before.unionByName(fresh)))
-        changed = graph.join(before, ["a", "b"], "left_anti").count()
-        if changed <= SETTLED * max(1, graph.count()):
+        first = graph.where("place = 1")
+        seats = graph.select(F.col("a").alias("grp"), F.col("b").alias("node")).unionByName(reverse).unionByName(first.select(F.col("a").alias("grp"), F.col("a").alias("node")))
+        seen = points.select("node", "v").join(first.select(F.col("a").alias("node"), "worst"), "node")
+        more = local_joins(seats.join(seen, "node")).withColumn("fresh", F.lit(1))
+        graph, changed = _shorten(graph.select("a", "b", "sim", F.lit(0).alias("fresh")).unionByName(more))
+        if changed <= SETTLED:
             break
-    return graph
+    return graph.select("a", "b", "sim")
 
 
 def _block_counts(u: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
@@ -243,7 +248,7 @@ def count_links(points: DataFrame, found: DataFrame, threshold: float) -> DataFr
             bins = [int(math.acos(max(-1.0, min(1.0, float((_matrix(a) * _matrix(b)).sum())))) / BIN) for a, b in ((batch.column(3).slice(i, 1), batch.column(4).slice(i, 1)) for i in range(batch.num_rows))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bins, pa.int32())], names=["node", "comp", "m", "v", "bin"])
 
-    placed = checkpoint(inside.join(pivots, "comp").select("node", "comp", "m", "v", "pivot").mapInArrow(angle, "node long, comp long, m long, v array<float>, bin int"))
+    placed = checkpoint(inside.join(pivots, "comp").select("node", "comp", "m", "v", "pivot").mapInArrow(angle, f"node long, comp long, m long, v {points.schema['v'].dataType.simpleString()}, bin int"))
     limit = int(math.acos(threshold) / BIN) - 3  # bins whose edges add up to the threshold's angle at most
     bins = placed.groupBy("comp", "bin").agg(F.sum("m").alias("m"))
     upto = bins.withColumn("total", F.sum("m").over(W.partitionBy("comp").orderBy("bin"))).select("comp", F.col("bin").alias("at"), "total")
@@ -290,11 +295,13 @@ def audit(points: DataFrame, links: DataFrame, threshold: float) -> tuple[int, i
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     single = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
     named = checkpoint(single.where(usable(F.col("v"))))
     points = named.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("m")).select("node", F.size("v").cast("long").alias("dim"), "m", "v")
     points = checkpoint(points)
+    points = points.coalesce(points.count() // VECTORS + 1)
     edges = None
     for turn in range(ROUNDS):
         more = start_graph(points, turn)
@@ -303,7 +310,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         found = checkpoint(connected_components(near, "a", "b"))
         across = links_across(points, edges, found, threshold)
         if across is not None and not across.isEmpty():
-            found = connected_components(near.unionByName(across), "a", "b")
+            found = checkpoint(joined_components(found, across, "a", "b"))
         links = checkpoint(count_links(points, found, threshold))
         got, true = audit(points, links, threshold)
         if got >= RECALL * true:
