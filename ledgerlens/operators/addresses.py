@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import exact_quantiles
+from ledgerlens.session import checkpoint
+
 
 def _of(role: str, column: str = "amount"):
     return F.when(F.col("role") == role, F.col(column))
@@ -68,15 +71,21 @@ def top_counterparties(edge: DataFrame, k: int = 3) -> DataFrame:
 
 
 def local_clustering(edge: DataFrame) -> DataFrame:
-    """Share of an address's neighbour pairs that deal with each other, by edges known at its last step; null under two neighbours."""
+    """Share of an address's neighbour pairs that deal with each other, by edges known at its last step; null under two neighbours.
+
+    Each triangle is found once, at its corner of least degree, so that a hub costs its edges times their other ends' degrees
+    and not the square of its own. An address's own edges are all known at its last step.
+    """
     f = flows(edge)
-    und = f.select(F.least("payer", "payee").alias("u"), F.greatest("payer", "payee").alias("v"), "step").groupBy("u", "v").agg(F.min("step").alias("since"))
-    both = und.select("u", "v", "since").unionByName(und.select(F.col("v").alias("u"), F.col("u").alias("v"), "since"))
-    last = first_last(edge).select(F.col("address").alias("u"), "last_step")
-    near = both.join(last, "u").where("since <= last_step")
-    degree = near.groupBy("u").agg(F.count("*").alias("k"))
-    pairs = near.select("u", "last_step", F.col("v").alias("x")).join(near.select("u", F.col("v").alias("y")), "u").where("x < y")
-    shut = pairs.join(und.select(F.col("u").alias("x"), F.col("v").alias("y"), "since"), ["x", "y"]).where("since <= last_step").groupBy("u").agg(F.count("*").alias("links"))
+    und = checkpoint(f.select(F.least("payer", "payee").alias("u"), F.greatest("payer", "payee").alias("v"), "step").groupBy("u", "v").agg(F.min("step").alias("since")))
+    degree = und.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("k"))
+    ends = checkpoint(degree.join(first_last(edge).select(F.col("address").alias("u"), "last_step"), "u").select("u", F.struct("k", "u", "last_step").alias("end")))
+    placed = und.join(ends.withColumnRenamed("end", "x"), "u").join(ends.select(F.col("u").alias("v"), F.col("end").alias("y")), "v")
+    low = checkpoint(placed.select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "since").select(F.col("low.u").alias("corner"), "low", "high", "since"))
+    wedge = low.alias("a").join(low.alias("b"), "corner").where("a.high.u < b.high.u")
+    wedge = wedge.select("a.low", F.col("a.high").alias("x"), F.col("b.high").alias("y"), F.greatest("a.since", "b.since").alias("known"), F.col("a.high.u").alias("u"), F.col("b.high.u").alias("v"))
+    shut = wedge.join(und, ["u", "v"]).withColumn("known", F.greatest("known", "since")).select("known", F.explode(F.array("low", "x", "y")).alias("end"))
+    shut = shut.where("known <= end.last_step").groupBy(F.col("end.u").alias("u")).agg(F.count("*").alias("links"))
     value = F.when(F.col("k") >= 2, F.round(2.0 * F.coalesce("links", F.lit(0)) / (F.col("k") * (F.col("k") - 1)), 6))
     return degree.join(shut, "u", "left").select(F.col("u").alias("address"), "k", value.alias("clustering"))
 
@@ -87,15 +96,22 @@ def last_snapshot(edge: DataFrame) -> DataFrame:
     return edge.groupBy("address").agg(row.alias("r")).select("address", "r.txid", "r.pos", "r.role", "r.amount", "r.step")
 
 
+def _medians(df: DataFrame, features: tuple[str, ...], name: str) -> DataFrame:
+    """One row of the features' exact medians, found by ranges of their values."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
+    found = exact_quantiles(long, "value", [0.5], ["feature"])
+    return found.agg(*[F.max(F.when(F.col("feature") == f, F.get("quantiles", F.lit(0)))).alias(f"{name}_{f}") for f in features])
+
+
 def robust_anomalies(profile: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """One-sided modified z-scores against the median (Iglewicz and Hoaglin 1993), joined into ``1 - exp(-z / 2)``.
 
     A median deviation of zero gives way to 1.2533 mean deviations, and that to 1. Two small aggregates are joined back.
     """
-    out = profile
-    mid = profile.agg(*[F.percentile(f, 0.5).alias(f"m_{f}") for f in features])
+    profile = checkpoint(profile)
+    mid = _medians(profile, features, "m")
     away = profile.join(F.broadcast(mid)).select(*[F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in features])
-    scale = away.agg(*[F.percentile(f, 0.5).alias(f"d_{f}") for f in features], *[F.avg(f).alias(f"a_{f}") for f in features])
+    scale = away.agg(*[F.avg(f).alias(f"a_{f}") for f in features]).join(F.broadcast(_medians(away, features, "d")))
     out = profile.join(F.broadcast(mid)).join(F.broadcast(scale))
     z = lambda f: F.greatest(F.lit(0.0), F.when(F.col(f"d_{f}") > 0, 0.6745 * (F.col(f) - F.col(f"m_{f}")) / F.col(f"d_{f}")).otherwise((F.col(f) - F.col(f"m_{f}")) / F.when(F.col(f"a_{f}") > 0, 1.2533 * F.col(f"a_{f}")).otherwise(1.0)))
     total = F.sqrt(sum((F.coalesce(z(f), F.lit(0.0)) ** 2 for f in features), F.lit(0.0)))
@@ -104,7 +120,7 @@ def robust_anomalies(profile: DataFrame, features: tuple[str, ...]) -> DataFrame
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index by the reference's quantile bins; shares under ``floor`` count as it."""
-    cuts = reference.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("cuts"))
+    cuts = exact_quantiles(reference, column, [i / bins for i in range(1, bins)]).withColumnRenamed("quantiles", "cuts")
     place = lambda df: df.where(F.col(column).isNotNull()).join(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c < F.col(column))).alias("bin"))
     count = lambda df, n: place(df).groupBy("bin").agg(F.count("*").alias(n))
     both = count(reference, "e").join(count(current, "o"), "bin", "full_outer")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.components import connected_components
+from ledgerlens.operators.ranges import places
 from ledgerlens.operators.transactions import change_candidates, star_edges
 
 
@@ -44,10 +45,12 @@ def cluster_index(clusters: DataFrame) -> DataFrame:
 
 def merge_counters(clusters: DataFrame) -> DataFrame:
     """Each step's addresses, clusters, merges and largest clusters."""
-    size = clusters.groupBy("step", "cluster_id").agg(F.count("*").alias("size"))
-    top = F.slice(F.sort_array(F.collect_list("size"), asc=False), 1, 2)
-    out = size.groupBy("step").agg(F.sum("size").alias("addresses"), F.count("*").alias("clusters"), F.max("size").alias("largest"), F.sum(F.when(F.col("size") > 1, F.col("size")).otherwise(0)).alias("covered"), top.alias("t"))
-    return out.select("step", "addresses", "clusters", (F.col("addresses") - F.col("clusters")).alias("merges"), "largest", F.get("t", F.lit(1)).alias("second"), F.round(F.col("covered") / F.col("addresses"), 6).alias("coverage"))
+    size = clusters.groupBy("step", "cluster_id").agg(F.count("*").alias("size")).groupBy("step", "size").agg(F.count("*").alias("n"))
+    best = W.partitionBy("step").orderBy(F.desc("size"))
+    size = size.withColumn("second", F.when(F.col("n") > 1, F.col("size")).otherwise(F.lead("size").over(best))).withColumn("first", F.row_number().over(best) == 1)
+    total = lambda c: F.sum(F.col("n") * c)
+    out = size.groupBy("step").agg(total(F.col("size")).alias("addresses"), F.sum("n").alias("clusters"), F.max("size").alias("largest"), total(F.when(F.col("size") > 1, F.col("size")).otherwise(0)).alias("covered"), F.max(F.when(F.col("first"), F.col("second"))).alias("second"))
+    return out.select("step", "addresses", "clusters", (F.col("addresses") - F.col("clusters")).alias("merges"), "largest", "second", F.round(F.col("covered") / F.col("addresses"), 6).alias("coverage"))
 
 
 def binary_entropy(p: Column) -> Column:
@@ -102,8 +105,8 @@ def permuted_pairs(clusters: DataFrame, entities: DataFrame, trials: int) -> Dat
     """
     own = clusters.join(entities, "address").select("cluster_id", F.concat_ws("|", "cluster_id", "address").alias("member"), "entity")
     every = own.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
-    plain, mixed = W.partitionBy("trial").orderBy("member"), W.partitionBy("trial").orderBy(F.md5(F.concat_ws("|", F.col("trial").cast("string"), "member").cast("binary")), "member")
-    slot = every.select("trial", "cluster_id", F.row_number().over(plain).alias("place"))
-    dealt = every.select("trial", "entity", F.when(F.col("trial") == 0, F.row_number().over(plain)).otherwise(F.row_number().over(mixed)).alias("place"))
+    drawn = F.when(F.col("trial") > 0, F.md5(F.concat_ws("|", F.col("trial").cast("string"), "member").cast("binary")))
+    slot = places(every.select("trial", "cluster_id", "member"), ["trial", "member"]).select("trial", "cluster_id", "place")
+    dealt = places(every.select("trial", "entity", "member", drawn.alias("drawn")), ["trial", "drawn", "member"]).select("trial", "entity", "place")
     cells = slot.join(dealt, ["trial", "place"]).groupBy("trial", "cluster_id", "entity").agg(F.count("*").alias("n"))
     return cells.groupBy("trial").agg(F.sum(pairs(F.col("n"))).cast("long").alias("pairs"))

@@ -1,4 +1,7 @@
-"""Ranking, calibration and testing metrics by cumulative windows over scores; ties move together."""
+"""Ranking, calibration and testing metrics by running sums over scores; ties move together.
+
+Running sums go over ranges of scores (``operators.ranges``), so that no task holds all of them.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import running_sums
+
 
-def _by_score(scored: DataFrame) -> DataFrame:
-    """Distinct scores with their counts: what the curves need, however many rows there are."""
-    return scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+def _by_score(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores with their counts, and positives (``tp``) and rows (``seen``) at and above each, in each slice."""
+    counts = scored.groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    summed = running_sums(counts, [*by, "score"], {"tp": "pos", "seen": "n"}, descending=True)
+    if not by:
+        return summed
+    above = summed.groupBy(*by).agg(F.min(F.col("tp") - F.col("pos")).alias("tp0"), F.min(F.col("seen") - F.col("n")).alias("seen0"))
+    return summed.join(above, list(by)).withColumn("tp", F.col("tp") - F.col("tp0")).withColumn("seen", F.col("seen") - F.col("seen0")).drop("tp0", "seen0")
 
 
 def curve_metrics(scored: DataFrame) -> DataFrame:
     """Average precision, the same normalised by prevalence, and the area under the ROC curve, from ``score, label``."""
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = _by_score(scored).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    c = _by_score(scored)
     totals = scored.agg(F.sum("label").alias("p"), F.count("*").alias("all"))
     c = c.join(F.broadcast(totals))
     before = F.col("tp") - F.col("pos")
@@ -39,8 +48,7 @@ def at_k(scored: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 def precision_bounds(scored: DataFrame, k: int) -> DataFrame:
     """Least and greatest precision among the k best over all orders of equal scores."""
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = _by_score(scored).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    c = _by_score(scored)
     cut = c.where(F.col("seen") >= k).orderBy("seen").limit(1)
     free, sure = F.lit(k) - (F.col("seen") - F.col("n")), F.col("tp") - F.col("pos")
     low = sure + F.greatest(F.lit(0), free - (F.col("n") - F.col("pos")))
@@ -55,10 +63,58 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def bands(scored: DataFrame, precision: float, support: int = 50) -> DataFrame:
     """The lowest score at and above which every threshold with support reaches the precision; no row if none."""
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = _by_score(scored).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).where(F.col("seen") >= support)
-    least = F.min(F.col("tp") / F.col("seen")).over(down)
-    return c.withColumn("least", least).where(F.col("least") >= precision).agg(F.min("score").alias("threshold"), F.max("seen").alias("support"))
+    c = _by_score(scored).where(F.col("seen") >= support)
+    missed = c.where(F.col("tp") / F.col("seen") < precision).agg(F.max("score").alias("missed"))
+    kept = c.join(F.broadcast(missed)).where("missed IS NULL OR score > missed")
+    return kept.agg(F.min("score").alias("threshold"), F.max("seen").alias("support"))
+
+
+def budget_bands(scored: DataFrame, shares: Sequence[tuple[float, str]], rest: str) -> DataFrame:
+    """``id, severity``: bands by share of all rows from the top; equal scores share a band and take it only if they fit as a whole."""
+    g = running_sums(scored.groupBy("score").agg(F.count("*").alias("c")), ["score"], {"seen": "c"}, descending=True)
+    g = g.join(F.broadcast(scored.agg(F.count("*").alias("n"))))
+    band = F.lit(rest)
+    for share, name in reversed(shares):
+        band = F.when(F.col("seen") <= F.ceil(share * F.col("n")), name).otherwise(band)
+    return scored.join(g.select("score", band.alias("severity")), "score").select("id", "severity")
+
+
+def threshold_metrics(scored: DataFrame, threshold: float, floor: float = 1e-15) -> DataFrame:
+    """Precision, recall and F1 at a threshold, Brier score and log-loss of probabilities, in one pass."""
+    hit, y = F.col("score") >= threshold, F.col("label") == 1
+    p = F.least(F.greatest("score", F.lit(floor)), F.lit(1 - floor))
+    loss = -F.when(y, F.ln(p)).otherwise(F.ln(1 - p))
+    a = scored.agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count("*").alias("n"), F.avg((F.col("score") - F.col("label")) ** 2).alias("b"), F.avg(loss).alias("l"))
+    share = lambda n, d: F.round(F.when(d > 0, n / d).otherwise(0.0), 6)
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return a.select("n", "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), F.round("b", 6).alias("brier"), F.round("l", 6).alias("log_loss"))
+
+
+def expected_calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """Mean gap between score and observed share over equal-width bins, weighted by rows, and the largest gap."""
+    place = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
+    b = scored.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("score") - F.avg("label")).alias("gap"))
+    return b.agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"), F.round(F.max("gap"), 6).alias("largest_gap"), F.count("*").alias("bins"))
+
+
+def transaction_metrics(scored: DataFrame) -> DataFrame:
+    """Average precision of transactions, each scored by its best address and positive if one of its addresses is, from ``txid, score, label``."""
+    return curve_metrics(scored.groupBy("txid").agg(F.max("score").alias("score"), F.max("label").alias("label")))
+
+
+def shadow(candidate: DataFrame, champion: DataFrame, k: int = 100) -> DataFrame:
+    """Agreement of two models' scores, from ``id, score`` of each: rank correlation (ties share their mean rank), overlap of the k best, mean difference."""
+    both = candidate.select("id", F.col("score").alias("a")).join(champion.select("id", F.col("score").alias("b")), "id")
+
+    def ranked(c: str) -> DataFrame:
+        counts = running_sums(both.groupBy(c).agg(F.count("*").alias("n")), [c], {"upto": "n"})
+        return counts.select(c, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"rank_{c}"))
+
+    ranks = both.join(ranked("a"), "a").join(ranked("b"), "b")
+    best = lambda c: both.orderBy(F.desc(c), "id").limit(k).select("id")
+    overlap = best("a").join(best("b"), "id", "left_semi").agg(F.count("*").alias("top_overlap"))
+    out = ranks.agg(F.count("*").alias("n"), F.round(F.corr("rank_a", "rank_b"), 6).alias("spearman"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_abs_diff"))
+    return out.join(F.broadcast(overlap))
 
 
 def holm(tests: DataFrame) -> DataFrame:
@@ -98,8 +154,7 @@ def duplicate_features(df: DataFrame, columns: Sequence[str], tolerance: float =
 
 def slice_metrics(scored: DataFrame, by: str) -> DataFrame:
     """Average precision and prevalence of each slice, from ``by, score, label``."""
-    down = W.partitionBy(by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = scored.groupBy(by, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("p", F.sum("pos").over(W.partitionBy(by)))
+    c = _by_score(scored, [by])
+    c = c.join(c.groupBy(by).agg(F.sum("pos").alias("p")), by)
     out = c.groupBy(by).agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum(F.when(F.col("p") > 0, F.col("pos") / F.col("p") * F.col("tp") / F.col("seen"))).alias("ap"))
     return out.select(by, "n", "positives", F.round("ap", 6).alias("average_precision"), F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))

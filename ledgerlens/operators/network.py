@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import exact_quantiles, running_sums
+
 
 def arrivals(obs: DataFrame) -> DataFrame:
     """First arrival of each transaction at each observer, its offset from the first, rank (ties by observer) and spread."""
@@ -39,16 +41,20 @@ def propagation(obs: DataFrame) -> DataFrame:
 def pooled(obs: DataFrame, by: str = "observer") -> DataFrame:
     """Per group: transactions, peers, and the upper median of the transactions' spreads there."""
     each = obs.groupBy(by, "txid").agg((F.max("ms") - F.min("ms")).alias("spread"), F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy(by).orderBy("spread", "txid"))
-    size = F.count("*").over(W.partitionBy(by))
-    middle = each.withColumn("place", place).withColumn("size", size).groupBy(by).agg(F.max("size").alias("n_txs"), F.sum("n").alias("announcements"), F.max(F.when(F.col("place") == F.floor(F.col("size") / 2) + 1, F.col("spread"))).alias("median_spread_ms"))
+    counted = running_sums(each.groupBy(by, "spread").agg(F.count("*").alias("c"), F.sum("n").alias("n")), [by, "spread"], {"upto": "c"})
+    before = F.col("upto") - F.col("c")
+    sums = counted.groupBy(by).agg(F.sum("c").alias("n_txs"), F.sum("n").alias("announcements"), F.min(before).alias("start"))
+    at = F.floor(F.col("n_txs") / 2) + F.col("start")
+    middle = counted.drop("n").join(F.broadcast(sums), by).groupBy(by, "n_txs", "announcements").agg(F.max(F.when((before <= at) & (at < F.col("upto")), F.col("spread"))).alias("median_spread_ms"))
     return middle.join(obs.groupBy(by).agg(F.count_distinct("peer").alias("peers")), by)
 
 
 def arrival_summary(obs: DataFrame) -> DataFrame:
     """How often each observer is first, over all transactions, and percentiles of its offsets."""
     a = arrivals(obs)
-    return a.groupBy("observer").agg(F.count("*").alias("n_txs"), F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("n_first"), F.round(F.percentile("offset_ms", 0.5), 3).alias("p50"), F.round(F.percentile("offset_ms", 0.9), 3).alias("p90"), F.round(F.avg(F.when(F.col("spread_ms") <= 250, 1.0).otherwise(0.0)), 6).alias("flat_share"))
+    out = a.groupBy("observer").agg(F.count("*").alias("n_txs"), F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("n_first"), F.round(F.avg(F.when(F.col("spread_ms") <= 250, 1.0).otherwise(0.0)), 6).alias("flat_share"))
+    q = exact_quantiles(a, "offset_ms", [0.5, 0.9], ["observer"])
+    return out.join(q, "observer").select("observer", "n_txs", "n_first", F.round(F.get("quantiles", F.lit(0)), 3).alias("p50"), F.round(F.get("quantiles", F.lit(1)), 3).alias("p90"), "flat_share")
 
 
 def correlate(tx: DataFrame, obs: DataFrame) -> DataFrame:

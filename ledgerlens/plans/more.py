@@ -74,13 +74,7 @@ def agg_m4(spark, d):
 @query("w_budget_model", SCORED + ", g AS (SELECT score, sum(count(*)) OVER (ORDER BY score DESC) AS seen, sum(count(*)) OVER () AS n FROM s GROUP BY score) SELECT id, CASE WHEN seen <= ceil(0.01 * n) THEN 'critical' WHEN seen <= ceil(0.05 * n) THEN 'high' WHEN seen <= ceil(0.15 * n) THEN 'medium' ELSE 'low' END AS severity FROM s JOIN g USING (score)")
 def w_budget_model(spark, d):
     """Bands by share of all rows; equal scores share a band and take it only if they fit as a whole."""
-    from pyspark.sql import Window as W
-
-    s = _scored(spark, d)
-    g = s.groupBy("score").agg(F.count("*").alias("c"))
-    g = g.withColumn("seen", F.sum("c").over(W.orderBy(F.desc("score")))).withColumn("n", F.sum("c").over(W.partitionBy()))
-    fits = lambda share: F.col("seen") <= F.ceil(share * F.col("n"))
-    return s.join(g, "score").select("id", F.when(fits(0.01), "critical").when(fits(0.05), "high").when(fits(0.15), "medium").otherwise("low").alias("severity"))
+    return M.budget_bands(_scored(spark, d), ((0.01, "critical"), (0.05, "high"), (0.15, "medium")), "low")
 
 
 @query(
