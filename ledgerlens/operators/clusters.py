@@ -110,3 +110,39 @@ def permuted_pairs(clusters: DataFrame, entities: DataFrame, trials: int) -> Dat
     dealt = places(every.select("trial", "entity", "member", drawn.alias("drawn")), ["trial", "drawn", "member"]).select("trial", "entity", "place")
     cells = slot.join(dealt, ["trial", "place"]).groupBy("trial", "cluster_id", "entity").agg(F.count("*").alias("n"))
     return cells.groupBy("trial").agg(F.sum(pairs(F.col("n"))).cast("long").alias("pairs"))
+
+
+def history_clusters(edge: DataFrame) -> DataFrame:
+    """``address, cluster_id`` of every spending address over the whole history; addresses that ever spend together are one entity."""
+    found = connected_components(star_edges(edge).select(F.col("center").alias("src"), F.col("address").alias("dst"))).withColumnRenamed("vertex", "address")
+    return edge.where("role = 'in'").select("address").distinct().join(found, "address", "left").select("address", F.coalesce("component_id", "address").alias("cluster_id"))
+
+
+def growing_clusters(edge: DataFrame, snapshot: str) -> DataFrame:
+    """``snapshot, address, cluster_id``: the clusters as they stand at the end of each snapshot, from all spending up to it.
+
+    All snapshots are clustered in one run, over edges repeated for each later snapshot.
+    """
+    ins = edge.where("role = 'in'")
+    last = ins.agg(F.max(snapshot)).first()[0]
+    node = lambda c: F.concat_ws(":", F.lpad(F.col("at").cast("string"), 6, "0"), c)
+    later = F.explode(F.sequence(F.col(snapshot), F.lit(last))).alias("at")
+    by_tx = ins.select("txid", F.col(snapshot).alias("_s")).distinct()
+    stars = star_edges(edge).join(by_tx, "txid").select("center", "address", F.col("_s").alias(snapshot)).groupBy("center", "address").agg(F.min(snapshot).alias(snapshot))
+    found = connected_components(stars.select("center", "address", later).select(node("center").alias("src"), node("address").alias("dst"))).withColumnRenamed("vertex", "node")
+    nodes = ins.groupBy("address").agg(F.min(snapshot).alias(snapshot)).select("address", later).withColumn("node", node("address"))
+    return nodes.join(found, "node", "left").select(F.col("at").alias(snapshot), "address", F.coalesce("component_id", "node").alias("cluster_id"))
+
+
+def sign_flip_test(differences: DataFrame, by: str, most: int = 20) -> DataFrame:
+    """``by, folds, mean, p``: share of all sign assignments of a group's fold differences whose mean is as far from 0 as theirs, exactly.
+
+    Groups have ``most`` folds at the outside (``by, fold, difference``); more are an error, since the assignments double with each.
+    """
+    folds = differences.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("fold", "difference"))).alias("f")).select(by, F.transform("f", lambda x: x["difference"]).alias("d"))
+    checked = folds.withColumn("n", F.when(F.size("d") <= most, F.size("d")).otherwise(F.raise_error(F.lit(f"more than {most} folds"))))
+    every = checked.select(by, "d", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, n)") - 1)).alias("signs"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda t, i: t + F.get("d", i) * F.when(F.getbit("signs", i) == 1, -1.0).otherwise(1.0))
+    own = F.aggregate("d", F.lit(0.0), lambda t, x: t + x)
+    hit = F.abs(total) >= F.abs(own) - 1e-9
+    return every.groupBy(by).agg(F.max("n").alias("folds"), F.round(F.max(own / F.col("n")), 6).alias("mean"), F.round(F.avg(hit.cast("double")), 8).alias("p"))

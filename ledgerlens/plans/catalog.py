@@ -411,17 +411,21 @@ def g_paths(spark, d):
 
 
 def _rank(i):
-    return f"r{i} AS MATERIALIZED (SELECT b.vertex, 0.3::DOUBLE * b.base + 0.7::DOUBLE * coalesce(f.flow, 0) AS r FROM base b LEFT JOIN (SELECT dst, sum(r * p) AS flow FROM r{i - 1} JOIN moves ON vertex = src GROUP BY dst) f ON f.dst = b.vertex)"
+    held = f"h{i} AS MATERIALIZED (SELECT txid, sum(r * leave) AS held FROM r{i - 1} JOIN walk USING (address) GROUP BY txid)"
+    return held + f", r{i} AS MATERIALIZED (SELECT b.address, 0.3::DOUBLE * b.own + 0.7::DOUBLE * coalesce(f.flow, 0) AS r FROM base b LEFT JOIN (SELECT address, sum(held * arrive) AS flow FROM h{i} JOIN walk USING (txid) GROUP BY address) f USING (address))"
 
 
 @query(
     "g_ppr",
-    f"WITH {LINKS}, moves AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM links), base AS MATERIALIZED (SELECT vertex, CASE WHEN vertex IN (SELECT vertex FROM seeds) THEN 1.0::DOUBLE / (SELECT count(*) FROM seeds) ELSE 0 END AS base FROM (SELECT src AS vertex FROM links UNION SELECT dst FROM links)), r0 AS MATERIALIZED (SELECT vertex, base AS r FROM base), "
-    + ", ".join(_rank(i) for i in range(1, 11))
-    + " SELECT vertex, round(r, 8) AS score FROM r10",
+    V.EDGE
+    + """, pairs AS MATERIALIZED (SELECT DISTINCT address, txid FROM edge), calm AS (SELECT address, txid, count(*) OVER (PARTITION BY txid) AS size FROM pairs), kept AS (SELECT * FROM calm WHERE size <= 500),
+ walk AS MATERIALIZED (SELECT address, txid, 1.0::DOUBLE / count(*) OVER (PARTITION BY address) AS leave, 1.0::DOUBLE / size AS arrive FROM kept), marked AS (SELECT DISTINCT address, address IN (SELECT 'A' || p_partkey FROM part WHERE p_size = 1) AS seed FROM pairs),
+ base AS MATERIALIZED (SELECT address, seed, CASE WHEN seed THEN 1.0::DOUBLE / (SELECT count(*) FROM marked WHERE seed) ELSE 0 END AS own FROM marked), r0 AS MATERIALIZED (SELECT address, own AS r FROM base), """
+    + ", ".join(_rank(i) for i in range(1, 41))
+    + " SELECT address, round(CASE WHEN seed THEN 1 ELSE least(1, r * (SELECT count(*) FROM marked WHERE seed) / 0.3::DOUBLE) END, 6) AS score FROM r40 JOIN base USING (address)",
 )
 def g_ppr(spark, d):
-    return R.personalised_rank(*_links(spark, d))
+    return R.personalised_rank(V.edges(spark, d), _links(spark, d)[1])
 
 
 def _trace(i):
