@@ -338,16 +338,17 @@ def m_delayed(spark, d):
 
 @query(
     "m_dataset",
-    V.EDGE
+    V.EDGE.replace("'A' || l_partkey AS address", "'A' || l_partkey || ':' || (year(o_orderdate) * 4 + quarter(o_orderdate)) AS address")
     + f""", {FLOWS}, t AS (SELECT address, min(step) AS first_step, max(step) AS last_step, count(DISTINCT txid) AS n_txs FROM edge GROUP BY 1), q AS (SELECT payer AS address, count(DISTINCT payee) AS out_degree FROM flow GROUP BY 1), x AS (SELECT t.*, coalesce(out_degree, 0) AS out_degree, CASE WHEN first_step <= 34 THEN 'train' WHEN first_step <= 41 THEN 'validation' ELSE 'test' END AS fold FROM t LEFT JOIN q USING (address))
- SELECT x.*, p_size % 3 AS class FROM x LEFT JOIN part ON address = 'A' || p_partkey WHERE fold = 'test' OR (fold = 'train' AND last_step <= 34) OR (fold = 'validation' AND last_step <= 41)""",
+ SELECT x.*, p_size % 3 AS class FROM x LEFT JOIN part ON split_part(address, ':', 1) = 'A' || p_partkey WHERE fold = 'test' OR (fold = 'train' AND last_step <= 34) OR (fold = 'validation' AND last_step <= 41)""",
 )
 def m_dataset(spark, d):
-    """Feature blocks of addresses with their fold by first step; addresses that live over a fold's end are left out, labels come last."""
-    e = V.edges(spark, d)
+    """Feature blocks of addresses in each quarter with their fold by first step; those that go over a fold's end are left out, labels come last."""
+    e = V.edges(spark, d).withColumn("address", F.concat_ws(":", "address", (F.year("ts") * 4 + F.quarter("ts")).cast("string")))
     degree = A.counterparties(e).select("address", "out_degree")
     x = A.first_last(e).join(A.tx_degree(e).withColumnRenamed("degree", "n_txs"), "address").join(degree, "address", "left").withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
     end = {"train": 34, "validation": 41}
     fold = F.when(F.col("first_step") <= end["train"], "train").when(F.col("first_step") <= end["validation"], "validation").otherwise("test")
     inside = (F.col("fold") == "test") | (F.col("last_step") <= F.when(F.col("fold") == "train", end["train"]).otherwise(end["validation"]))
-    return x.withColumn("fold", fold).where(inside).join(_classes(spark, d), "address", "left")
+    labels = _classes(spark, d).withColumnRenamed("address", "owner")
+    return x.withColumn("fold", fold).where(inside).withColumn("owner", F.substring_index("address", ":", 1)).join(labels, "owner", "left").drop("owner")
