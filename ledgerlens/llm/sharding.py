@@ -7,7 +7,7 @@ column statistics of a shard's files are narrow in every dimension at once.
 A row's place is worked out without a global sort: rows of a cell are dealt by a hash into blocks of about
 ``BLOCK_ROWS``, so that a cell holding a third of all rows is spread over many tasks; block counts give offsets and only
 the inside of a block is sorted. The grid has ``2 ** (BITS * dimensions)`` cells whatever the data's size, which bounds
-the one table that is broadcast.
+the one table that is broadcast whatever its size; levels of whole strings are broadcast by their number.
 
 Null dimensions sort first (level 0). Null texts have no bytes (size 16, CRC of nothing). Repeated rows and equal ids
 each get a slot of their own; an empty table gives no rows. Columns of the input other than those named are ignored.
@@ -21,16 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.joins import narrow
+from ledgerlens.operators.ranges import running_sums
 from ledgerlens.session import checkpoint
 
 #: Levels of a dimension are 2 ** BITS; rows that are sorted at once.
 BITS, BLOCK_ROWS = 5, 20_000
 
 
-def order_number(value: Column) -> Column:
-    """A string as a number that keeps the order of its first six bytes; null is -1."""
-    head = F.rpad(F.hex(F.encode(F.substring(value, 1, 6), "UTF-8")), 12, "0")
-    return F.coalesce(F.conv(F.substring(head, 1, 12), 16, 10).cast("double"), F.lit(-1.0))
+def string_levels(df: DataFrame, name: str) -> DataFrame:
+    """``value, level`` of each value of a column, by the share of rows whose whole value comes before; null is level 0."""
+    values = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    summed = running_sums(values, ["value"], {"upto": "n"})
+    total = F.lit(2**BITS) * (F.col("upto") - F.col("n")) / F.greatest(F.lit(1), F.lit(df.count()))
+    return checkpoint(summed.select("value", F.when(F.col("value").isNull(), 0).otherwise(F.floor(total)).cast("int").alias("level")))
 
 
 def hilbert_index(levels: list[Column], bits: int = BITS) -> Column:
@@ -59,12 +63,16 @@ def hilbert_shards(df: DataFrame, shards: int = 40, key: str = "doc_id", text: s
     """``key, size, text_crc32, hilbert, shard, slot``; the dimensions are ``dims`` and the size, counts differ by one at most."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     names = [f"d{i}" for i in range(len(dims) + 1)]
-    base = df.select(F.col(key).alias("k"), (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("crc"), *[order_number(F.col(c)).alias(n) for c, n in zip(dims, names, strict=False)])
-    rows = checkpoint(base.withColumn(names[-1], F.col("size").cast("double")))
+    base = df.select(F.col(key).alias("k"), (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("crc"), *[F.col(c).cast("string").alias(n) for c, n in zip(dims, names, strict=False)])
+    rows = checkpoint(base)
     at = [i / 2**BITS for i in range(1, 2**BITS)]
-    cuts = rows.agg(*[F.percentile_approx(n, at, 10_000).alias(n) for n in names]).first()
-    level = lambda n: reduce(lambda a, b: a + b, [(F.col(n) > F.lit(x)).cast("int") for x in sorted(set(cuts[n] or []))], F.lit(0))
-    placed = rows.select("k", "size", "crc", *[level(n).alias(n) for n in names])
+    cuts = rows.agg(F.percentile_approx("size", at, 10_000)).first()[0]
+    size_level = reduce(lambda a, b: a + b, [(F.col("size") > F.lit(x)).cast("int") for x in sorted(set(cuts or []))], F.lit(0))
+    placed = rows.withColumn(names[-1], size_level)
+    for n in names[:-1]:
+        levels = narrow(string_levels(rows, n)).withColumnRenamed("value", "_value")
+        placed = placed.join(levels, F.col(n).eqNullSafe(F.col("_value"))).drop(n, "_value").withColumnRenamed("level", n)
+    placed = placed.select("k", "size", "crc", *names)
     cells = placed.groupBy(*names).agg(F.count("*").alias("cell_rows")).withColumn("hilbert", hilbert_index([F.col(n) for n in names]))
     line = W.orderBy("hilbert").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_rows").over(line), F.lit(0))).withColumn("blocks", F.ceil(F.col("cell_rows") / BLOCK_ROWS))
@@ -82,6 +90,9 @@ def hilbert_shards(df: DataFrame, shards: int = 40, key: str = "doc_id", text: s
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the rows of ``df`` as one folder a shard, each file sorted along the curve. ``key`` must be unique."""
+    """Write the rows of ``df`` as one folder a shard, each file sorted along the curve. Repeated or null keys are an error: their rows could not be told apart."""
+    clash = placed.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if not clash.isEmpty() or not placed.where(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} must be unique and not null")
     rows = df.join(placed.select(key, "shard", "slot"), key)
     rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import queries, sharding
@@ -49,3 +50,18 @@ def test_written_shards(spark, sf_dir, tmp_path):
     sharding.write_shards(docs, sharding.hilbert_shards(docs, 5), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and {r[0] for r in back.select("shard").distinct().collect()} == set(range(5))
+
+
+def test_levels_rank_whole_strings(spark):
+    values = [f"https://long.example/common/prefix/{i:03d}" for i in range(64)]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(5)] + [(None,)] * 3, "source string")
+    got = {r.value: r.level for r in sharding.string_levels(df, "source").collect()}
+    assert got[None] == 0 and [got[v] for v in values] == [32 * (3 + 5 * i) // 323 for i in range(64)]
+    hot = spark.createDataFrame([("a",)] * 900 + [("b",)] * 50 + [("c",)] * 50, "source string")
+    assert {r.value: r.level for r in sharding.string_levels(hot, "source").collect()} == {"a": 0, "b": 28, "c": 30}
+
+
+def test_repeated_ids_are_not_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "en", "x"), (1, "b", "en", "x")], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="unique"):
+        sharding.write_shards(df, sharding.hilbert_shards(df, 2), str(tmp_path / "out"))
