@@ -12,7 +12,10 @@ The trees are trained on a bounded sample of pages (``TRAIN_PAGES``): pages as t
 ``main`` element says what the text is, and pages composed of the same paragraphs in other layouts (``compose``), where
 that is known by construction. Training is one small task; the model is broadcast. Pages never leave their tasks.
 
-Null and empty pages, and pages without main text, give an empty text. Nothing is capped; broken markup is read on.
+Formulas, fallback text of embedded objects and text for readers without scripts are read like other text; drawings and
+lists of choices are passed over up to their end or the next block. Null and empty pages, and pages without main text, give
+an empty text. Nothing is capped; broken markup is read on, but for scripts, styles and the like, which without an end tag
+go to the page's end, as in a browser.
 Repeated rows give repeated results; an empty table gives no rows.
 """
 
@@ -37,10 +40,12 @@ TRAIN_PAGES, COMPOSED, TREES, DEPTH, RATE, BINS, PENALTY, SEED = 150, 4, 60, 4,
 
 #: Fixed element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object head select".split())
-BLOCKS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style template textarea title iframe".split())
+#: Elements whose text isn't read: until their end tag or, where that is missing, the next block.
+SILENT = frozenset("svg select annotation".split())
+BLOCKS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag ends an open element of the first kind unless one of the second kind is open inside.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -57,6 +62,7 @@ class Page:
         stack: list[tuple[str, int]] = [("#", 0)]
         parts: list[str] = []
         linked = links = at = 0
+        opened: dict[str, int] = {}  # how many elements of a name are open
 
         def flush() -> None:
             nonlocal linked
@@ -69,7 +75,7 @@ class Page:
 
         def add(text: str) -> None:
             nonlocal linked
-            if text:
+            if text and not any(opened.get(t) for t in SILENT):
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
                 if links:
@@ -80,8 +86,9 @@ class Page:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCKS:
                     flush()
-                if stack.pop()[0] == "a":
-                    links -= 1
+                name = stack.pop()[0]
+                opened[name] -= 1
+                links -= name == "a"
 
         while m := _TAG.search(source, at):
             add(source[at : m.start()])
@@ -96,7 +103,7 @@ class Page:
                     parts.append(" ")
                 continue
             if m[1]:
-                for d in range(len(stack) - 1, 0, -1):
+                for d in range(0) if not opened.get(name) else range(len(stack) - 1, 0, -1):
                     if stack[d][0] == name:
                         close(d)
                         break
@@ -105,13 +112,16 @@ class Page:
                 continue
             if name in VOID:
                 continue
-            if name in RAW and name != "head":
+            if name in RAW:
                 if not m[3].endswith("/"):
                     end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
                     at = end.end()
                 continue
             if name in BLOCKS:
-                if name != "p" or any(t == "p" for t, _ in stack):
+                for d in range(len(stack) - 1, 0, -1) if any(opened.get(t) for t in SILENT) else ():
+                    if stack[d][0] in SILENT:
+                        close(d)
+                if opened.get("p"):
                     for d in range(len(stack) - 1, 0, -1):
                         if stack[d][0] == "p" and name not in ("button", "label", "option", "legend"):
                             close(d)
@@ -120,7 +130,7 @@ class Page:
                             break
                 if name in ENDS:
                     kinds, walls = ENDS[name]
-                    for d in range(len(stack) - 1, 0, -1):
+                    for d in range(0) if not any(opened.get(k) for k in kinds) else range(len(stack) - 1, 0, -1):
                         if stack[d][0] in walls:
                             break
                         if stack[d][0] in kinds:
@@ -140,9 +150,11 @@ class Page:
                 self.tokens.append(tuple(tokens))
                 self.label.append(label)
                 stack.append((name, block))
-            else:
+                opened[name] = opened.get(name, 0) + 1
+            elif not m[3].endswith("/") or name not in SILENT:
                 links += name == "a"
                 stack.append((name, stack[-1][1]))
+                opened[name] = opened.get(name, 0) + 1
         add(source[at:])
         close(1)
         flush()
@@ -385,10 +397,11 @@ def fit(sources: list[str | None]) -> dict:
 
 
 def train(pages: DataFrame, source: str = "html") -> dict:
-    """The model, fitted in one task on at most about ``TRAIN_PAGES`` pages drawn by a hash; its size is fixed."""
-    total = pages.where(F.col(source).isNotNull()).count()
+    """The model, fitted in one task on at most about ``TRAIN_PAGES`` different pages drawn by a hash; its size is fixed."""
+    hashed = pages.where(F.col(source).isNotNull()).select(F.xxhash64(source).alias("hash"), F.col(source).alias("source"))
+    total = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
     share = int(1_000_000 * min(1.0, TRAIN_PAGES / max(1, total)))
-    picked = pages.where(F.col(source).isNotNull()).select(F.col(source).alias("source")).where(F.pmod(F.xxhash64("source"), F.lit(1_000_000)) < share)
+    picked = hashed.where(F.pmod("hash", F.lit(1_000_000)) < share).groupBy("hash").agg(F.min("source").alias("source")).select("source")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         m = fit(sorted(pdf["source"])[: 4 * TRAIN_PAGES])

@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,3 +91,45 @@ def test_rows_and_empty_tables(spark, sources, model):
     assert H.extract(df.limit(0), model).count() == 0
     empty = H.train(df.where("html IS NULL"))
     assert [r.text for r in H.extract(df.where("page_id = 2"), empty).collect()] == [""]
+
+
+def runs(source):
+    return [t for _, t, _ in H.Page(source).runs]
+
+
+def test_formulas_fallbacks_and_unclosed_elements():
+    assert runs("<article><p>One <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> two.</p><noscript><p>Three</p></noscript><object>four</object></article>") == ["One x=2 two.", "Three", "four"]
+    assert runs("<p>a <svg><title>no</title><text>no</text></svg> b <svg><text>no<p>c<p>d <select><option>no<option>no</select> e") == ["a b", "c", "d e"]
+    assert runs("<p>a<select><option>no<div>b</div>c") == ["a", "b", "c"]
+    assert runs("<p>a<script>if (1 < 2) no</script>b<p>c<style>no") == ["ab", "c"]
+    assert runs("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table></i></b>f") == ["a", "b", "c", "d", "e", "f"]
+    assert runs("") == runs(None) == []
+
+
+def test_deep_markup_takes_linear_time():
+    times = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert len(runs("<div>a" * n + "<b>x</i>" * n)) == n
+        times.append(time.process_time() - began)
+    assert times[1] < 12 * times[0] + 0.5
+
+
+def test_page_written_by_hand(sources):
+    """A layout that neither the tables nor ``compose`` have."""
+    model = H.fit(sources[:150])
+    paragraphs = [t for _, t, _ in H.Page(sources[160]).runs if len(t) > 120][:4]
+    page = f"""<!doctype html><html><head><title>Site</title></head><body class="home"><div id="top-bar"><ul class="links"><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></div>
+    <div class="wrap"><div class="sidebar"><h4>More</h4><ul><li><a href="/1">First link</a></li><li><a href="/2">Second link</a></li></ul></div>
+    <article class="post"><h1>{paragraphs[0][:40]}</h1>{"".join(f"<p>{p}</p>" for p in paragraphs)}</article></div>
+    <div class="footer"><p>Copyright. <a href="/c">Contact</a></p></div></body></html>"""
+    got = extract(model, page)
+    assert all(p in got for p in paragraphs) and "First link" not in got and "Copyright" not in got and "Home" not in got
+
+
+def test_sample_holds_each_page_once(spark, monkeypatch):
+    monkeypatch.setattr(H, "TRAIN_PAGES", 3)
+    monkeypatch.setattr(H, "fit", lambda sources: {"weights": {"<p": float(len(sources))}, "start": 0.0, "feature": np.zeros((1, 31), int), "cut": np.zeros((1, 31)), "leaf": np.zeros((1, 31))})
+    rows = [(i, "<p>hot</p>") for i in range(300)] + [(300 + i, f"<p>{i}</p>") for i in range(3)] + [(400, None)]
+    model = H.train(spark.createDataFrame(rows, "page_id long, html string"))
+    assert model["weights"]["<p"] <= 4.0
