@@ -10,8 +10,8 @@ that is one, else the run at ``IDENTITY`` or more with most matches.
 The benchmark's windows are counted first: up to ``BROADCAST_SEEDS`` they are broadcast and no text is shuffled;
 beyond, the same join is a shuffle. Hits are few, and go back to the documents the same way.
 
-Null and empty texts and items have no words and no hits. Items under ``SHORTEST`` words are too common to tell and are
-passed over. Repeated items each report; repeated rows of a document report once. Empty tables give no rows.
+Null and empty texts and items have no words and no hits. An item under ``SHORTEST`` words stands in many texts by chance; it
+is found in documents of the very same words and no others. Repeated items each report; repeated rows of a document report once. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.joins import by_ids, narrow
 from ledgerlens.session import checkpoint
 
 #: Positions that each mask looks at. The first allows any one word in five to be replaced.
@@ -87,8 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     ``start`` and ``end`` are word places in the document, the end exclusive.
     """
-    items = benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("item_words")).where(F.size("item_words") >= SHORTEST)
-    items = checkpoint(items.where(F.col("item").isNotNull()).distinct())
+    every_item = benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("item_words")).where("item IS NOT NULL AND size(item_words) > 0")
+    every_item = checkpoint(every_item.distinct())
+    items, short = every_item.where(F.size("item_words") >= SHORTEST), every_item.where(F.size("item_words") < SHORTEST)
     lengths = items.agg(F.min(F.size("item_words"))).first()[0]
     masks = [m for m in range(len(MASKS)) if m < TINY_MASK or (lengths or SHORT_ITEM + 1) <= SHORT_ITEM]
     source = items.select(F.struct("item", F.size("item_words").alias("size")).alias("id"), F.col("item_words").alias("words"))
@@ -98,11 +100,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     wanted = every.select(F.col("id.item").alias("item"), F.col("id.size").alias("size"), F.col("at").alias("item_at"), "seed").distinct()
     wanted = checkpoint(wanted)
     small = wanted.count() <= BROADCAST_SEEDS
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words(F.col(text)).alias("words"))
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = texts.select("id", words(F.col("text")).alias("words"))
     hits = seeds(rows, masks).join(F.broadcast(wanted) if small else wanted, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     hits = checkpoint(hits)
     few = hits.count() <= BROADCAST_HITS
-    placed = rows.join(F.broadcast(hits) if few else hits, "id").join(F.broadcast(items) if small else items, "item")
+    held = by_ids(texts, hits.select("id").distinct(), "id").select("id", words(F.col("text")).alias("words"))
+    placed = held.join(F.broadcast(hits) if few else hits, "id").join(F.broadcast(items) if small else items, "item")
     first = F.greatest(F.lit(0), -F.col("offset"))
     n = F.greatest(F.least(F.size("item_words"), F.size("words") - F.col("offset")) - first, F.lit(0))
     match = F.zip_with(F.slice("item_words", first + 1, n), F.slice("words", first + F.col("offset") + 1, n), lambda a, b: a == b)
@@ -115,4 +119,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = runs.where(F.col("run.matches") >= asked).select("id", "item", F.struct(F.col("run.matches").alias("n"), (-F.col("base") - F.col("run.from")).alias("early"), length.alias("length")).alias("best"))
     best = found.groupBy("id", "item").agg(F.max("best").alias("best"))
     start = -F.col("best.early")
-    return best.select(F.col("id").alias(key), F.col("item").alias(item), start.alias("start"), (start + F.col("best.length")).alias("end"), F.col("best.length").alias("n_words"), F.col("best.n").alias("n_matches"))
+    found = best.select(F.col("id").alias(key), F.col("item").alias(item), start.alias("start"), (start + F.col("best.length")).alias("end"), F.col("best.length").alias("n_words"), F.col("best.n").alias("n_matches"))
+    if short.isEmpty():
+        return found
+    same = rows.where((F.size("words") > 0) & (F.size("words") < SHORTEST)).distinct().join(narrow(short), F.col("words") == F.col("item_words"))
+    n = F.size("words")
+    whole = same.select(F.col("id").alias(key), F.col("item").alias(item), F.lit(0).alias("start"), n.alias("end"), n.alias("n_words"), n.alias("n_matches"))
+    return found.unionByName(whole)
