@@ -8,7 +8,9 @@ log-likelihood difference a symbol is under a cut calibrated on the accepted one
 The symbols are the fixed ``ALPHABET`` and one for all others, so the model never has more than ``(len + 3) ** 3`` rows,
 which is the bound of the one table that is broadcast.
 
-Rejected examples are URLs that hold one of ``SEED_TERMS``, accepted ones the others. Null URLs, and those without
+This is distant supervision: nobody has labelled the URLs. Those that hold one of the words ``SEED_TERMS`` (a parameter) are
+the rejected examples and all others the accepted ones, so the models can tell what looks like these words' URLs and
+nothing else. Equal URLs are counted together before anything else. Null URLs, and those without
 ``://``, have an empty host and path, and no rule fits. A URL without symbols scores 0. Equal URLs get equal verdicts.
 """
 
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checkpoint
+
 #: Fixed rules: action, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Fixed words that mark the rejected examples.
@@ -26,6 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./:?&=_#%-+@"
 OTHER, BEGIN, END = "~", "^", "$"
 #: Share of accepted examples that may fall under the cut.
 FALSE_REJECTS = 0.002
+#: Different URLs of a task.
+URLS = 20_000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -57,8 +63,8 @@ def _grams(urls: DataFrame) -> DataFrame:
 
 
 def train(urls: DataFrame) -> DataFrame:
-    """``gram, ratio``: log of accepted over rejected likelihood of a symbol after its context, from a column ``rejected``."""
-    counts = _grams(urls).groupBy("gram").agg(F.sum(F.when(F.col("rejected"), 0).otherwise(1)).alias("acc"), F.sum(F.when(F.col("rejected"), 1).otherwise(0)).alias("rej"))
+    """``gram, ratio``: log of accepted over rejected likelihood of a symbol after its context, from ``url, rejected, n``, each URL counting ``n`` times."""
+    counts = _grams(urls).groupBy("gram").agg(F.sum(F.when(F.col("rejected"), 0).otherwise(F.col("n"))).alias("acc"), F.sum(F.when(F.col("rejected"), F.col("n")).otherwise(0)).alias("rej"))
     tri = counts.select("gram", F.substring("gram", 1, 2).alias("h2"), F.substring("gram", 2, 1).alias("h1"), F.substring("gram", 3, 1).alias("s"), "acc", "rej")
     one = tri.groupBy("s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
     two = tri.groupBy("h1", "s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
@@ -80,23 +86,25 @@ def train(urls: DataFrame) -> DataFrame:
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``url, score`` of distinct URLs: the log-likelihood difference a symbol. Strings the model lacks add nothing."""
-    parts = _grams(urls.select("url").distinct()).join(F.broadcast(model), "gram", "left")
+    """``url, score`` of URLs that differ: the log-likelihood difference a symbol. Strings the model lacks add nothing."""
+    parts = _grams(urls.select("url")).join(F.broadcast(model), "gram", "left")
     return parts.groupBy("url").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"))
 
 
 def cut(scored: DataFrame) -> float:
     """The accepted examples' quantile at FALSE_REJECTS, at most 0; scores are rounded, which bounds the state."""
-    got = scored.where("NOT rejected").agg(F.expr(f"percentile(round(score, 3), {FALSE_REJECTS})")).first()[0]
+    counts = scored.where("NOT rejected").groupBy(F.round("score", 3).alias("s")).agg(F.count("*").alias("c"))
+    got = counts.agg(F.percentile("s", FALSE_REJECTS, F.col("c"))).first()[0]
     return min(0.0, got if got is not None else 0.0)
 
 
 def judge(pages: DataFrame, rules=RULES, terms=SEED_TERMS) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every page."""
     seeded = lower_ascii(F.col("url")).rlike("(^|[^a-z])(" + "|".join(terms) + ")([^a-z]|$)")
-    urls = pages.select("url", F.coalesce(seeded, F.lit(False)).alias("rejected"))
-    model = train(urls)
-    scored = score(urls, model)
+    distinct = checkpoint(pages.groupBy("url").agg(F.count("*").alias("n")))
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, distinct.count() // URLS + 1)
+    urls = distinct.repartition(tasks).withColumn("rejected", F.coalesce(seeded, F.lit(False)))
+    scored = checkpoint(score(urls, train(urls)))
     limit = cut(scored.withColumn("rejected", F.coalesce(seeded, F.lit(False))))
     host, path = host_and_path(F.col("url"))
     out = pages.select("page_id", "url").join(scored, "url", "left").select("page_id", host.alias("host"), path.alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"))
