@@ -83,8 +83,8 @@ def fold(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, float]:
-    """Fit on a sample of the labelled rows outside the held-out fold; the weights, of fixed size, come to the driver."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(fold(F.col("k")) != 0)
+    """Fit on a sample of the labelled rows outside the held-out fold; the weights, of fixed size, come to the driver. Labels other than 0 and 1 are left out."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where((fold(F.col("k")) != 0) & F.col("y").isin(0, 1))
     total = known.count()
     scale = 1_000_000
     picked = known.where(F.pmod(F.xxhash64("k"), F.lit(scale)) < int(scale * min(1.0, TRAIN_ROWS / max(1, total))))
