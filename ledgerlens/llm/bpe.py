@@ -102,7 +102,7 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         lhs, rhs, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})  # in memory, nothing spills to the task's disk
         self.db.register("merges_in", pa.table({"lhs": lhs, "rhs": rhs, "merged": merged}))
         self.db.register("vocabulary_in", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS FROM merges_in; CREATE TABLE vocabulary AS FROM vocabulary_in")
