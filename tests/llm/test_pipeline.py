@@ -49,3 +49,27 @@ def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    good = docs.where("doc_id < 40")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.keep_good(spark, good, sf_dir).collect()}
+    text = max((t for t in kept.values() if "=" not in t), key=len)
+    secret = text + " token=abcdefghijkl0123456789"
+    rows = [(900, text), (900, text), (901, text), (None, text), (None, text), (902, None), (902, None), (903, ""), (904, secret), (905, item), (None, item), (906, "other words " * 40), (906, "quite different " * 40)]
+    odd = spark.createDataFrame([(i, t, None, "src", len(t or ""), 7, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, secret_spans int, component_id string").select(*docs.columns, "secret_spans", "component_id")
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    ordered = lambda rows: sorted(rows, key=str)
+    good = corpus_pipeline.keep_good(spark, odd, sf_dir)
+    assert good.columns == odd.columns and plain(good) == ordered([r for r in rows if quality.chance(r[1], quality.train(odd, spark.read.parquet(f"{sf_dir}/labels.parquet"))) >= quality.ACCEPT])
+    one = corpus_pipeline.keep_one_of_each(spark, odd, sf_dir)
+    gone = {901, 904} if test_minhash.brute([(900, text), (904, secret)], 5, 80)[1][2] == 900 else {901}
+    assert one.columns == odd.columns and plain(one) == ordered([(900, text), *[r for r in rows[3:] if r[0] not in gone and r[0] != 902], (902, None)])
+    clean = corpus_pipeline.drop_contaminated(spark, odd, sf_dir)
+    assert clean.columns == odd.columns and plain(clean) == ordered([r for r in rows if r[0] != 905])
+    covered = corpus_pipeline.redact_secrets(spark, odd, sf_dir)
+    assert covered.columns == odd.columns and plain(covered) == ordered([(i, text + " [secret]" if t == secret else t) for i, t in rows])
+    assert all(r.n_chars == len(r.text or "") for r in covered.collect())
+    assert corpus_pipeline.tokenize(spark, odd, sf_dir).count() == len(rows)
