@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpoint
 
+#: Rows of an id and a number that may be broadcast: about 40 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
 
 def nearest_seed(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """Vertices within ``hops`` of a seed: distance, and the least vertex one hop nearer. ``links``: src, dst."""
@@ -42,7 +45,8 @@ def money_trace(edge: DataFrame, start: DataFrame, hops: int = 4, hub: int = 200
 def personalised_rank(edge: DataFrame, seeds: DataFrame, restart: float = 0.3, rounds: int = 40, hub: int = 500) -> DataFrame:
     """``address, score``: random walk with restart at the seeds (Haveliwala 2002), from address to transaction to address.
 
-    Transactions of more than ``hub`` addresses are left out. What a walk carries to an address that has no other
+    The scores of a round are broadcast up to BROADCAST_ROWS of them, so that the edges stay where they are, and joined by a
+    shuffle beyond. Transactions of more than ``hub`` addresses are left out. What a walk carries to an address that has no other
     transaction is lost and not dealt anew. Scores are shares of what a seed keeps for itself, at most 1; seeds have 1, and
     without a seed among the addresses all have 0. ``seeds``: vertex.
     """
@@ -50,18 +54,21 @@ def personalised_rank(edge: DataFrame, seeds: DataFrame, restart: float = 0.3, r
     size = rows.groupBy("txid").agg(F.count("*").alias("size")).where(F.col("size") <= hub)
     walk = rows.join(size, "txid")
     degree = walk.groupBy("address").agg(F.count("*").alias("degree"))
-    walk = checkpoint(walk.join(degree, "address").select("address", "txid", (1.0 / F.col("degree")).alias("leave"), (1.0 / F.col("size")).alias("arrive")))
+    walk = checkpoint(walk.join(degree, "address").select("address", "txid", (1.0 / F.col("degree")).alias("leave"), (1.0 / F.col("size")).alias("arrive"))).persist()
     marked = rows.select("address").distinct().join(seeds.select(F.col("vertex").alias("address")).distinct().withColumn("seed", F.lit(1)), "address", "left")
     base = checkpoint(marked.select("address", F.coalesce("seed", F.lit(0)).alias("seed")))
     n = base.agg(F.sum("seed")).first()[0] or 0
     own = F.col("seed") / float(max(n, 1))
     rank = base.select("address", own.alias("r"))
+    few = {"address": base.count() <= BROADCAST_ROWS, "txid": size.count() <= BROADCAST_ROWS}
+    side = lambda df, key: F.broadcast(df) if few[key] else df
     for i in range(rounds):
-        tx = rank.join(walk, "address").groupBy("txid").agg(F.sum(F.col("r") * F.col("leave")).alias("held"))
-        flow = tx.join(walk.select("txid", "address", "arrive"), "txid").groupBy("address").agg(F.sum(F.col("held") * F.col("arrive")).alias("flow"))
-        rank = base.join(flow, "address", "left").select("address", (restart * own + (1 - restart) * F.coalesce("flow", F.lit(0.0))).alias("r"))
-        if i % 4 == 3:
+        tx = walk.join(side(rank, "address"), "address").groupBy("txid").agg(F.sum(F.col("r") * F.col("leave")).alias("held"))
+        flow = walk.join(side(tx, "txid"), "txid").groupBy("address").agg(F.sum(F.col("held") * F.col("arrive")).alias("flow"))
+        rank = base.join(side(flow, "address"), "address", "left").select("address", (restart * own + (1 - restart) * F.coalesce("flow", F.lit(0.0))).alias("r"))
+        if i % 4 == 3 or i == rounds - 1:
             rank = checkpoint(rank)
+    walk.unpersist()
     score = F.when(F.col("seed") == 1, 1.0).otherwise(F.least(F.col("r") * n / restart, F.lit(1.0)))
     return rank.join(base, "address").select("address", F.round(score, 6).alias("score"))
 
