@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import scalars as L
 from ledgerlens.functions import statistics as T
 from ledgerlens.operators import addresses as A
 from ledgerlens.operators import clusters as C
+from ledgerlens.operators import golden as Q
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import network as N
+from ledgerlens.operators import ranges as G
 from ledgerlens.operators import transactions as X
 from ledgerlens.operators import traversal as R
 from ledgerlens.plans import views as V
@@ -352,3 +355,118 @@ def m_dataset(spark, d):
     inside = (F.col("fold") == "test") | (F.col("last_step") <= F.when(F.col("fold") == "train", end["train"]).otherwise(end["validation"]))
     labels = _classes(spark, d).withColumnRenamed("address", "owner")
     return x.withColumn("fold", fold).where(inside).withColumn("owner", F.substring_index("address", ":", 1)).join(labels, "owner", "left").drop("owner")
+
+
+# --- alerts and small forms -------------------------------------------------------------------------------------------
+
+
+@query("f_safe_float", "WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '-3.5' WHEN 2 THEN 'Infinity' WHEN 3 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) || '.25' END AS v FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey + 0.25::DOUBLE ELSE 0 END AS value FROM t")
+def f_safe_float(spark, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 5 == 0, "abc").when(k % 5 == 1, "-3.5").when(k % 5 == 2, "Infinity").when(k % 5 == 4, F.concat(k.cast("string"), F.lit(".25")))
+    return table(spark, d, "orders").select("o_orderkey", L.safe_float(v).alias("value"))
+
+
+@query("f_alert_id", "WITH t AS (SELECT o_orderkey AS n, substr(md5(o_orderkey::VARCHAR), 1, 16) AS run FROM orders) SELECT n, CASE n % 4 WHEN 0 THEN run || ':' || n WHEN 1 THEN run || ':0' || n WHEN 2 THEN upper('x' || run) || ':' || n ELSE run || ':' || n || ' ' END AS id, CASE WHEN n % 4 = 0 THEN run END AS run, CASE WHEN n % 4 = 0 THEN n END AS number FROM t")
+def f_alert_id(spark, d):
+    """Ids made and read again; those that aren't ids have no parts."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 16).alias("r"))
+    whole, k = L.alert_id(F.col("r"), F.col("n")), F.col("n") % 4
+    made = F.when(k == 0, whole).when(k == 1, F.replace(whole, F.lit(":"), F.lit(":0"))).when(k == 2, F.concat(F.upper(F.concat(F.lit("x"), "r")), F.lit(":"), "n")).otherwise(F.concat(whole, F.lit(" ")))
+    t = t.select("n", made.alias("id"))
+    run, number = L.alert_parts(F.col("id"))
+    return t.select("n", "id", run.alias("run"), number.alias("number"))
+
+
+@query("f_node_label", "WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey ELSE 'bc1q' || md5(p_partkey::VARCHAR) END AS address FROM part) SELECT 'addr:' || address AS id, CASE WHEN length(address) > 14 THEN substr(address, 1, 8) || '…' || substr(address, length(address) - 3) ELSE address END AS label FROM a")
+def f_node_label(spark, d):
+    k = F.col("p_partkey").cast("string")
+    a = table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("A"), k)).otherwise(F.concat(F.lit("bc1q"), F.md5(k.cast("binary")))).alias("address"))
+    return a.select(F.concat(F.lit("addr:"), "address").alias("id"), L.node_label(F.col("address")).alias("label"))
+
+
+ALERTS = "alerts AS (SELECT e.address, min(step) AS first_step, max(step) AS last_step, (p_size % 50) / 50 AS risk, CASE WHEN p_size % 50 >= 45 THEN 'critical' WHEN p_size % 50 >= 30 THEN 'high' ELSE 'low' END AS severity FROM edge e JOIN part ON p_partkey = entity_key GROUP BY ALL)"
+
+
+def _alerts(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("entity_key"), (F.col("p_size") % 50).alias("s"))
+    kind = F.when(F.col("s") >= 45, "critical").when(F.col("s") >= 30, "high").otherwise("low")
+    return V.edges(spark, d).join(part, "entity_key").groupBy("address", (F.col("s") / 50).alias("risk"), kind.alias("severity")).agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
+@query("p_alert_filter", V.EDGE + f", {ALERTS} SELECT * FROM alerts WHERE severity IN ('critical', 'high') AND risk BETWEEN 0.65 AND 0.95 AND last_step >= 10 AND first_step <= 60")
+def p_alert_filter(spark, d):
+    """Alerts by severity, risk and overlap in time."""
+    return _alerts(spark, d).where("severity IN ('critical', 'high') AND risk BETWEEN 0.65 AND 0.95 AND last_step >= 10 AND first_step <= 60")
+
+
+@query("x_explain_members", V.EDGE + f", {ALERTS}, f AS (SELECT address, count(DISTINCT txid) AS n_txs, round(sum(CASE WHEN role = 'in' THEN amount END), 2) AS sent FROM edge GROUP BY 1) SELECT address, severity, n_txs, sent, row_number() OVER (PARTITION BY severity ORDER BY risk DESC, n_txs DESC, address) AS place FROM alerts JOIN f USING (address) QUALIFY place <= 5")
+def x_explain_members(spark, d):
+    """The first members of each severity with their features."""
+    e = V.edges(spark, d)
+    f = e.groupBy("address").agg(F.count_distinct("txid").alias("n_txs"), F.round(F.sum(F.when(F.col("role") == "in", F.col("amount"))), 2).alias("sent"))
+    best = W.partitionBy("severity").orderBy(F.desc("risk"), F.desc("n_txs"), "address")
+    return _alerts(spark, d).join(f, "address").withColumn("place", F.row_number().over(best)).where("place <= 5").select("address", "severity", "n_txs", "sent", "place")
+
+
+@query(
+    "j_related",
+    V.EDGE
+    + f""", {V.OBS_SQL}, m AS (SELECT DISTINCT p_brand AS entity, txid FROM edge JOIN part ON p_partkey = entity_key WHERE p_size = 7), p AS (SELECT DISTINCT entity, peer FROM m JOIN obs USING (txid) WHERE peer IS NOT NULL),
+ t AS (SELECT a.entity, b.entity AS other, count(*) AS n FROM m a JOIN m b USING (txid) WHERE a.entity <> b.entity GROUP BY ALL), q AS (SELECT a.entity, b.entity AS other, count(*) AS n FROM p a JOIN p b USING (peer) WHERE a.entity <> b.entity GROUP BY ALL),
+ r AS (SELECT entity, other, 'transaction' AS via, n FROM t UNION ALL SELECT q.entity, q.other, 'peer', q.n FROM q ANTI JOIN t USING (entity, other)) SELECT entity, other, via, n, row_number() OVER (PARTITION BY entity ORDER BY via DESC, n DESC, other) AS place FROM r QUALIFY place <= 20""",
+)
+def j_related(spark, d):
+    """Entities that share a transaction, else a relaying peer, the first twenty of each; those by transaction come first."""
+    part = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("entity_key"), F.col("p_brand").alias("entity"))
+    m = checkpoint(V.edges(spark, d).join(part, "entity_key").select("entity", "txid").distinct())
+    p = m.join(V.observations(spark, d).where("peer IS NOT NULL").select("txid", "peer"), "txid").select("entity", "peer").distinct()
+
+    def shared(df, key):
+        other = df.select(F.col("entity").alias("other"), key)
+        return df.join(other, key).where("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("n"))
+
+    t = checkpoint(shared(m, "txid"))
+    q = shared(p, "peer").join(t.select("entity", "other"), ["entity", "other"], "left_anti")
+    r = t.withColumn("via", F.lit("transaction")).unionByName(q.withColumn("via", F.lit("peer")))
+    best = W.partitionBy("entity").orderBy(F.desc("via"), F.desc("n"), "other")
+    return r.withColumn("place", F.row_number().over(best)).where("place <= 20")
+
+
+@query("dict_encode", V.EDGE + "SELECT address, row_number() OVER (ORDER BY address) - 1 AS code FROM (SELECT DISTINCT address FROM edge)")
+def dict_encode(spark, d):
+    """Dense codes of addresses in their order."""
+    return G.places(V.edges(spark, d).select("address").distinct(), ["address"]).select("address", (F.col("place") - 1).alias("code"))
+
+
+@query(
+    "g_onset",
+    V.EDGE
+    + """, s AS (SELECT step, count(DISTINCT address) AS a FROM edge WHERE step > 0 GROUP BY step), w AS (SELECT step, first(step) OVER x AS start, regr_slope(ln(a), ln(step)) OVER x AS slope, count(*) OVER x AS n FROM s WINDOW x AS (ORDER BY step ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+ r AS (SELECT *, n = 8 AND slope > 0.1 AND lag(slope) OVER (ORDER BY step) > 0.1 AND lag(n) OVER (ORDER BY step) = 8 AND lag(slope, 2) OVER (ORDER BY step) > 0.1 AND lag(n, 2) OVER (ORDER BY step) = 8 AS hit FROM w)
+ SELECT min(start) FILTER (hit) AS onset, round(arg_min(slope, step) FILTER (hit), 6) AS exponent, (SELECT round(regr_slope(ln(a), ln(step)), 6) FROM s) AS overall FROM r""",
+)
+def g_onset(spark, d):
+    """The first of three windows in a row (of eight steps) in which addresses grow faster than a power of the step; a table of one row a step."""
+    s = V.edges(spark, d).where("step > 0").groupBy("step").agg(F.count_distinct("address").alias("a"))
+    line = W.orderBy("step")
+    x = line.rowsBetween(-7, 0)
+    w = s.select("step", F.first("step").over(x).alias("start"), F.regr_slope(F.ln("a"), F.ln("step")).over(x).alias("slope"), F.count("*").over(x).alias("n"))
+    high = (F.col("n") == 8) & (F.col("slope") > 0.1)
+    r = w.withColumn("high", high).withColumn("hit", F.col("high") & F.lag("high", 1, False).over(line) & F.lag("high", 2, False).over(line))
+    first = r.agg(F.min(F.when(F.col("hit"), F.col("start"))).alias("onset"), F.round(F.min_by(F.when(F.col("hit"), F.col("slope")), F.when(F.col("hit"), F.col("step"))), 6).alias("exponent"))
+    return first.join(F.broadcast(s.agg(F.round(F.regr_slope(F.ln("a"), F.ln("step")), 6).alias("overall"))))
+
+
+@query("m_golden", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, (sum(('0x' || substr(md5({c}::VARCHAR), 1, 15))::BIGINT::HUGEINT) % 1000000000000000)::BIGINT AS digest FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")))
+def m_golden(spark, d):
+    return Q.column_digests(table(spark, d, "lineitem"), ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"))
+
+
+@query("x_golden_vals", "SELECT 'o_totalprice' AS \"column\", count(*) FILTER (o_orderkey % 90 <> 0) AS compared, count(*) FILTER (o_orderkey % 90 <> 0 AND o_orderkey % 50 = 0) AS differing, count(*) FILTER (o_orderkey % 90 = 0) AS only_one FROM orders")
+def x_golden_vals(spark, d):
+    """A table against a copy with some values moved beyond and others within the tolerance, and some rows missing."""
+    a = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    b = a.where(k % 90 != 0).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 50 == 0, 0.5).when(k % 7 == 0, 1e-7).otherwise(0.0))
+    return Q.value_differences(a, b, "o_orderkey", {"o_totalprice": 1e-4})
