@@ -226,15 +226,15 @@ def m_mix_tx(spark, d):
     return X.mixing_shapes(V.transactions(e), e)
 
 
-@query(
-    "g_change",
-    V.EDGE
-    + """, outs AS (SELECT txid, pos, address, ts FROM (SELECT *, count(*) OVER (PARTITION BY txid) AS n FROM edge WHERE role = 'out') WHERE n = 2), seen AS (SELECT address, min(ts) AS first_ts, count(DISTINCT txid) AS uses FROM edge GROUP BY 1),
+CHANGE = """outs AS (SELECT txid, pos, address, ts FROM (SELECT *, count(*) OVER (PARTITION BY txid) AS n FROM edge WHERE role = 'out') WHERE n = 2), seen AS (SELECT address, min(ts) AS first_ts, count(DISTINCT txid) AS uses FROM edge GROUP BY 1),
  own AS (SELECT DISTINCT txid, address FROM edge WHERE role = 'in'), o AS (SELECT outs.*, first_ts, uses, first_ts >= ts AS fresh, own.txid IS NOT NULL AS own FROM outs JOIN seen USING (address) LEFT JOIN own ON own.txid = outs.txid AND own.address = outs.address),
  p AS (SELECT *, coalesce(lead(fresh) OVER w, lag(fresh) OVER w) AS pf, coalesce(lead(first_ts) OVER w, lag(first_ts) OVER w) AS pt, coalesce(lead(uses) OVER w, lag(uses) OVER w) AS pu FROM o WINDOW w AS (PARTITION BY txid ORDER BY pos, address)),
  q AS (SELECT txid, pos, address, round(CASE WHEN own THEN 0.98::DOUBLE ELSE CASE WHEN fresh AND NOT pf THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN first_ts > pt THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN pu > 1 THEN 0.15::DOUBLE ELSE 0 END END, 4) AS score FROM p),
- t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q) SELECT txid, pos, address, score, score = top AND score >= 0.7 AND count(*) FILTER (score = top) OVER (PARTITION BY txid) = 1 AS chosen FROM t""",
-)
+ t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q)"""
+CHOSEN = "SELECT txid, pos, address, score, score = top AND score >= 0.7 AND count(*) FILTER (score = top) OVER (PARTITION BY txid) = 1 AS chosen FROM t"
+
+
+@query("g_change", V.EDGE + f", {CHANGE} {CHOSEN}")
 def g_change(spark, d):
     return X.change_candidates(V.edges(spark, d))
 
@@ -592,15 +592,13 @@ def contract_rows(spark, d):
     return _capture(spark, d).groupBy(F.coalesce(S.violations(4102444800), F.lit("ok")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def _ip_sql(x):
-    out = "CASE"
-    for start, bits, name in S.SPECIAL:
-        low = sum(int(o) << s for o, s in zip(start.split("."), (24, 16, 8, 0), strict=True))
-        out += f" WHEN {x} BETWEEN {low} AND {low + 2 ** (32 - bits) - 1} THEN '{name}'"
-    return out + " ELSE 'global' END"
+IP_CLASS = """CASE WHEN ip <= 16777215 THEN 'this-network' WHEN ip BETWEEN 167772160 AND 184549375 THEN 'private' WHEN ip BETWEEN 1681915904 AND 1686110207 THEN 'shared' WHEN ip BETWEEN 2130706432 AND 2147483647 THEN 'loopback'
+ WHEN ip BETWEEN 2851995648 AND 2852061183 THEN 'link-local' WHEN ip BETWEEN 2886729728 AND 2887778303 THEN 'private' WHEN ip BETWEEN 3221225472 AND 3221225727 THEN 'protocol' WHEN ip BETWEEN 3221225984 AND 3221226239 THEN 'documentation'
+ WHEN ip BETWEEN 3227017984 AND 3227018239 THEN 'relay' WHEN ip BETWEEN 3232235520 AND 3232301055 THEN 'private' WHEN ip BETWEEN 3323068416 AND 3323199487 THEN 'benchmarking' WHEN ip BETWEEN 3325256704 AND 3325256959 THEN 'documentation'
+ WHEN ip BETWEEN 3405803776 AND 3405804031 THEN 'documentation' WHEN ip BETWEEN 3758096384 AND 4026531839 THEN 'multicast' WHEN ip = 4294967295 THEN 'broadcast' WHEN ip >= 4026531840 THEN 'reserved' ELSE 'global' END"""
 
 
-@query("f_ip_class", f"WITH e AS (SELECT event_id, (event_id * 2654435 + user_id * 16777259) % 4294967296 AS ip FROM events) SELECT event_id, {_ip_sql('ip')} AS ip_class FROM e")
+@query("f_ip_class", f"WITH e AS (SELECT event_id, (event_id * 2654435 + user_id * 16777259) % 4294967296 AS ip FROM events) SELECT event_id, {IP_CLASS} AS ip_class FROM e")
 def f_ip_class(spark, d):
     ip = (F.col("event_id") * 2654435 + F.col("user_id") * 16777259) % 4294967296
     dotted = F.concat_ws(".", *[(F.floor(ip / 2**s) % 256).cast("string") for s in (24, 16, 8, 0)])

@@ -11,7 +11,7 @@ from ledgerlens.operators import clusters as C
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import transactions as X
 from ledgerlens.plans import views as V
-from ledgerlens.plans.catalog import CLUSTERS, FLOWS, MODE, ORACLE, SCORED, STAR, _clusters, _classes, _scored, query
+from ledgerlens.plans.catalog import CHANGE, CHOSEN, CLUSTERS, FLOWS, IP_CLASS, MODE, SCORED, STAR, _clusters, _classes, _scored, query
 from ledgerlens.session import checkpoint, table
 from ledgerlens.sources import capture as S
 from ledgerlens.sources import labels as B
@@ -165,12 +165,9 @@ def m_score(spark, d):
     return calibrated.select("address", "label", F.round("raw", 6).alias("raw"), F.round("prediction", 6).alias("score"))
 
 
-CHANGE = ORACLE["g_change"].removeprefix(V.EDGE).removeprefix(", ").replace("SELECT txid, pos, address, score, score = top", "picked AS (SELECT txid, pos, address, score, score = top").rsplit(" FROM t", 1)[0].replace("t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q) picked", "t AS (SELECT *, max(score) OVER (PARTITION BY txid) AS top FROM q), picked") + " FROM t)"
-
-
 @query(
     "m_compare",
-    f"WITH RECURSIVE {V.EDGE_SQL}, {STAR}, {CHANGE}"
+    f"WITH RECURSIVE {V.EDGE_SQL}, {STAR}, {CHANGE}, picked AS ({CHOSEN})"
     + """, sender AS (SELECT txid, step, address AS sender FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY pos, address) AS rn FROM edge WHERE role = 'in') WHERE rn = 1),
  chg AS (SELECT c.txid, step, sender, address FROM picked c JOIN sender USING (txid) WHERE chosen AND address <> sender), nodes AS (SELECT DISTINCT step, address, lpad(step::VARCHAR, 3, '0') || ':' || address AS node FROM edge WHERE role = 'in'),
  nodes2 AS (SELECT * FROM nodes UNION SELECT step, address, lpad(step::VARCHAR, 3, '0') || ':' || address FROM chg), links AS (SELECT lpad(step::VARCHAR, 3, '0') || ':' || center AS src, lpad(step::VARCHAR, 3, '0') || ':' || address AS dst FROM star),
@@ -230,7 +227,7 @@ def o_point(spark, d):
     return lines.select(F.col("l_orderkey").alias("txid"), F.col("l_linenumber").alias("pos"), F.lit("A42").alias("address"), F.when(F.col("l_linenumber") % 2 == 1, "in").otherwise("out").alias("role"), F.col("l_extendedprice").alias("amount"))
 
 
-@query("agg_geo", f"WITH e AS (SELECT (event_id * 2654435 + user_id * 16777259) % 4294967296 AS ip, user_id FROM events), c AS (SELECT ip, user_id, {{}} AS ip_class FROM e) SELECT ip_class, count(DISTINCT ip) AS ips, count(DISTINCT user_id) AS peers FROM c GROUP BY 1".replace("{}", ORACLE["f_ip_class"].split("SELECT event_id, ", 2)[2].split(" AS ip_class")[0]))
+@query("agg_geo", f"WITH e AS (SELECT (event_id * 2654435 + user_id * 16777259) % 4294967296 AS ip, user_id FROM events), c AS (SELECT ip, user_id, {IP_CLASS} AS ip_class FROM e) SELECT ip_class, count(DISTINCT ip) AS ips, count(DISTINCT user_id) AS peers FROM c GROUP BY 1")
 def agg_geo(spark, d):
     """Distinct addresses and peers of each address class."""
     ip = (F.col("event_id") * 2654435 + F.col("user_id") * 16777259) % 4294967296
