@@ -97,15 +97,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """One task's vocabulary in DuckDB and its memo of words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS, word_block: int = WORD_BLOCK):
+        self.memo_words, self.word_block = memo_words, word_block
         self.ranks, self.cut = ranks, regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         lhs, rhs, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})  # in memory, nothing spills to the task's disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})  # in memory, nothing spills to the task's disk
         self.db.register("merges_in", pa.table({"lhs": lhs, "rhs": rhs, "merged": merged}))
         self.db.register("vocabulary_in", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE merges AS FROM merges_in; CREATE TABLE vocabulary AS FROM vocabulary_in")
+        self.db.unregister("merges_in")
+        self.db.unregister("vocabulary_in")
         self.young: dict[str, tuple[str, int, bytes]] = {}
         self.old: dict[str, tuple[str, int, bytes]] = {}
 
@@ -119,12 +122,13 @@ class Codec:
         """Ids joined by commas, number of ids, and the bytes that those ids decode to, per word."""
         self.db.register("symbols", self.symbols([w.encode() for w in words]))
         self.db.execute(rounds)
+        self.db.unregister("symbols")
         ids, back = self.db.execute(IDS).fetchall(), self.db.execute(DECODE.format(rows="encoded")).fetchall()
         return [(i[2], i[1], bytes.fromhex(h[1])) for i, h in zip(ids, back, strict=True)]
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """A memo that holds at least these words."""
-        if len(self.young) > MEMO_WORDS:
+        if len(self.young) > self.memo_words:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = []
@@ -135,8 +139,8 @@ class Codec:
                 else:
                     new.append(w)
         short = [w for w in new if len(w) <= LONG_WORD]
-        for i in range(0, len(short), WORD_BLOCK):
-            block = short[i : i + WORD_BLOCK]
+        for i in range(0, len(short), self.word_block):
+            block = short[i : i + self.word_block]
             young.update(zip(block, self.solve(block), strict=True))
         for w in new:
             if len(w) > LONG_WORD:
@@ -158,11 +162,11 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
-def _codec(key: bytes, shared, pattern: str) -> Codec:
+def _codec(key: bytes, shared, pattern: str, *sizes: int) -> Codec:
     """This worker's codec; a worker serves one vocabulary at a time."""
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
+        _codecs[key] = Codec(shared.value, pattern, *sizes)
     return _codecs[key]
 
 
@@ -177,20 +181,21 @@ def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False, memo_words: int = MEMO_WORDS, word_block: int = WORD_BLOCK) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of every text, and the ids themselves if asked for.
 
     ``path`` is the vocabulary, read on the driver and broadcast (its size is that of the tokenizer, not of the data).
+    Smaller ``memo_words`` and ``word_block`` take less memory and more time; the result is the same.
     """
     spark = df.sparkSession
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)
-    mark = hashlib.sha256(repr((sorted(ranks.values()), pattern)).encode() + b"".join(ranks)).digest()
+    mark = hashlib.sha256(repr((sorted(ranks.values()), pattern, memo_words, word_block)).encode() + b"".join(ranks)).digest()
     fields = [T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(mark, shared, pattern)
+        codec = _codec(mark, shared, pattern, memo_words, word_block)
         for batch in batches:
             for a, b in _blocks(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
                 words = [codec.cut(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
