@@ -18,6 +18,8 @@ from ledgerlens.session import checkpoint, table
 
 #: Near-duplicates of the pipeline: words of a shingle and similarity in percent.
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: The tokenizer's memo and blocks, smaller than its own: executors come to it from the stages before with less memory free.
+MEMO_WORDS, WORD_BLOCK = 30_000, 5_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens.
     """
-    return bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, with_ids=True)
+    return bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, with_ids=True, memo_words=MEMO_WORDS, word_block=WORD_BLOCK)
 
 
 STAGES = [
