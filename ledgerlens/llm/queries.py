@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontam, html_extract, minhash, nndescent, passages, quality, secrets, sharding, urls
+from ledgerlens.llm import bpe, decontam, html_extract, minhash, nndescent, packing, passages, quality, secrets, sharding, urls
 from ledgerlens.session import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER, size=2048, separator=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_passages": op2_passages,
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_vectors": op10_vectors,
+    "op13_packing": op13_packing,
 }
 ORACLE: dict[str, str] = {}
