@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontam, html_extract, minhash, nndescent, packing, passages, phrases, quality, secrets, sharding, urls
+from ledgerlens.llm import anchors, bpe, decontam, html_extract, minhash, nndescent, packing, passages, phrases, quality, secrets, sharding, urls
 from ledgerlens.session import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -57,6 +57,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, cover=80, top=2000)
 
@@ -76,7 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_vectors": op10_vectors,
+    "op11_codes": op11_codes,
     "op12_phrases": op12_phrases,
     "op13_packing": op13_packing,
 }
-ORACLE: dict[str, str] = {"op12_phrases": phrases.SQL}
+ORACLE: dict[str, str] = {"op11_codes": anchors.SQL, "op12_phrases": phrases.SQL}
