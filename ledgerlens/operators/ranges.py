@@ -40,7 +40,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Seq
     counted = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     summed = running_sums(counted, [*by, "_v"], {"_upto": "_n"})
     groups = summed.groupBy(*by).agg(F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-    ranked = summed.join(F.broadcast(groups), list(by)) if by else summed.join(F.broadcast(groups))
+    ranked = summed.join(groups, list(by)) if by else summed.join(F.broadcast(groups))
     low, high = F.col("_upto") - F.col("_n") - F.col("_start"), F.col("_upto") - F.col("_start")
     at = [F.lit(float(s)) * (F.col("_size") - 1) for s in shares]
     holds = lambda place: (low <= place) & (place < high)

@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from ledgerlens.plans import catalog, forensics, more  # noqa: F401
+from ledgerlens.plans import catalog, forensics, graphs, more  # noqa: F401
 from ledgerlens.session import TABLES
 
 
