@@ -147,19 +147,28 @@ def g_khop(spark, d):
     return two.groupBy(F.col("u").alias("address")).agg(F.count(F.when(F.col("u") != F.col("v"), 1)).alias("within_two"))
 
 
+#: Features of the risk model.
+RISK_FEATURES = ["n_txs", "n_in", "n_out", "sent", "received", "mean_fee_ratio"]
+
+
+def risk_model(spark, d):
+    """``(rows, model)``: addresses with their features, label and fold, and boosted trees fitted on all folds but the first."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    e = V.edges(spark, d)
+    rows = A.address_profile(e, V.transactions(e)).join(_classes(spark, d), "address").fillna(0.0, RISK_FEATURES).withColumn("label", (F.col("class") == 1).cast("double"))
+    rows = VectorAssembler(inputCols=RISK_FEATURES, outputCol="features").transform(rows).withColumn("fold", F.pmod(F.xxhash64("address"), F.lit(4)))
+    return rows, GBTClassifier(maxIter=8, maxDepth=3, seed=1).fit(rows.where("fold > 0"))
+
+
 @query("m_score")
 def m_score(spark, d):
     """Boosted trees on aggregate features of addresses, isotonic calibration on a held-out fold, scores of all addresses."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    e = V.edges(spark, d)
-    names = ["n_txs", "n_in", "n_out", "sent", "received", "mean_fee_ratio"]
-    rows = A.address_profile(e, V.transactions(e)).join(_classes(spark, d), "address").fillna(0.0, names).withColumn("label", (F.col("class") == 1).cast("double"))
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).withColumn("fold", F.pmod(F.xxhash64("address"), F.lit(4)))
-    model = GBTClassifier(maxIter=8, maxDepth=3, seed=1).fit(rows.where("fold > 0"))
+    rows, model = risk_model(spark, d)
     scored = model.transform(rows).withColumn("raw", vector_to_array("probability")[1]).drop("prediction")
     calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored.where("fold = 0")).transform(scored)
     return calibrated.select("address", "label", F.round("raw", 6).alias("raw"), F.round("prediction", 6).alias("score"))
