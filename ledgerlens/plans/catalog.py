@@ -572,14 +572,18 @@ def key_chain(spark, d):
     return V.edges(spark, d).groupBy("txid").agg(F.sha2(F.concat_ws("|", F.col("txid").cast("string"), F.array_join(F.sort_array(F.collect_list(p)), ",")), 256).alias("chain_key"))
 
 
-CAP = "cap AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST((epoch_us(ts) // 1000) // 1000 AS VARCHAR) WHEN 1 THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS t, (event_id * 37) % 70000 AS port, CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE '10.0.0.1' END AS ip, user_id * 100000000 AS asn, CASE WHEN event_id % 3 = 1 THEN (epoch_us(ts) // 1000) ELSE (epoch_us(ts) // 1000) // 1000 * 1000 END AS ms FROM events)"
+CAP = """cap AS (SELECT event_id, (event_id * 37) % 70000 AS port, CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN '999.1.1.1' WHEN event_id % 13 = 0 THEN 'zz:' END AS bad_ip, user_id * 100000000 AS asn,
+ CASE WHEN event_id % 17 = 0 THEN NULL ELSE (CASE WHEN event_id % 3 = 1 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000 // 1000 * 1000 END) - CASE WHEN event_id % 19 = 0 THEN 946684800000 ELSE 0 END + CASE WHEN event_id % 29 = 0 THEN 3155760000000 ELSE 0 END END AS ms FROM events)"""
 
 
 def _capture(spark, d):
-    n, ms = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
-    stamp = F.when(n % 3 == 0, F.floor(ms / 1000).cast("string")).when(n % 3 == 1, ms.cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    """Rows of a capture with times in three forms (some unreadable, too early or too late) and addresses of both versions, some of them none."""
+    n, own = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = own - F.when(n % 19 == 0, 946_684_800_000).otherwise(0) + F.when(n % 29 == 0, 3_155_760_000_000).otherwise(0)
+    stamp = F.when(n % 17 == 0, "soon").when(n % 3 == 0, F.floor(ms / 1000).cast("string")).when(n % 3 == 1, ms.cast("string")).otherwise(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss"))
     port = ((n * 37) % 70000).cast("double")
-    return table(spark, d, "events").select("event_id", stamp.alias("timestamp"), port.alias("src_port"), port.alias("dst_port"), F.when(n % 7 == 0, "bad").otherwise("10.0.0.1").alias("src_ip"), (F.col("user_id") * 100000000).cast("double").alias("asn"))
+    src, dst = F.when(n % 7 == 0, "bad").when(n % 11 == 0, "999.1.1.1").when(n % 5 == 0, "::ffff:1.2.3.4").otherwise("10.0.0.1"), F.when(n % 13 == 0, "zz:").when(n % 2 == 0, "2001:db8::1")
+    return table(spark, d, "events").select("event_id", stamp.alias("timestamp"), port.alias("src_port"), port.alias("dst_port"), src.alias("src_ip"), dst.alias("dst_ip"), (F.col("user_id") * 100000000).cast("double").alias("asn"))
 
 
 @query("f_ts_ms", f"WITH {CAP} SELECT event_id, ms FROM cap")
@@ -587,7 +591,7 @@ def f_ts_ms(spark, d):
     return _capture(spark, d).select("event_id", S.timestamp_ms(F.col("timestamp")).alias("ms"))
 
 
-@query("contract_rows", f"WITH {CAP} SELECT coalesce(CASE WHEN ms <= 0 OR ms > 4102444800000 THEN 'timestamp' WHEN port > 65535 THEN 'port' WHEN ip = 'bad' THEN 'ip' WHEN asn > 4294967295 THEN 'asn' END, 'ok') AS kind, count(*) AS n FROM cap GROUP BY 1")
+@query("contract_rows", f"WITH {CAP} SELECT coalesce(CASE WHEN ms < 1230768000000 OR ms > 4102531200000 THEN 'timestamp' WHEN port > 65535 THEN 'port' WHEN bad_ip IS NOT NULL THEN 'ip' WHEN asn > 4294967295 THEN 'asn' END, 'ok') AS kind, count(*) AS n FROM cap GROUP BY 1")
 def contract_rows(spark, d):
     return _capture(spark, d).groupBy(F.coalesce(S.violations(4102444800), F.lit("ok")).alias("kind")).agg(F.count("*").alias("n"))
 

@@ -120,7 +120,7 @@ def g_trace_both(spark, d):
     return R.trace(V.edges(spark, d), spark.createDataFrame([("A7",), ("A42",)], "address string"), "both", 3, 2000)
 
 
-@query("g_trace_up", _trace_sql("(-1,)".replace(",)", ")"), 1, 24, "address IN (SELECT 'A' || p_partkey FROM part WHERE p_size = 2)", 10_000_000))
+@query("g_trace_up", _trace_sql("(-1)", 1, 24, "address IN (SELECT 'A' || p_partkey FROM part WHERE p_size = 2)", 10_000_000))
 def g_trace_up(spark, d):
     """Where the money of many addresses came from, within two years."""
     start = table(spark, d, "part").where("p_size = 2").select(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("address"))
@@ -136,39 +136,51 @@ def _dirty(spark, d):
     amount = F.when(at(11) & (F.col("pos") == 1), -F.col("amount")).otherwise(F.col("amount"))
     address = F.when(at(17) & (F.col("pos") == 2), " ").otherwise(F.col("address"))
     row = F.sort_array(F.collect_list(F.struct("pos", "role", address.alias("address"), amount.cast("string").alias("amount"))))
-    tx = e.groupBy("txid").agg(F.min("ts").cast("string").alias("timestamp"), F.sum(F.when(F.col("role") == "in", F.col("amount"))).alias("total"), F.sum("fee").alias("fee"), row.alias("r"))
+    time = F.min(F.unix_timestamp("ts") + 20 * 365 * 86400).cast("string")
+    tx = e.groupBy("txid").agg(time.alias("timestamp"), F.sum(F.when(F.col("role") == "in", F.col("amount"))).alias("total"), F.sum("fee").alias("fee"), row.alias("r"))
     side = lambda role, c: F.transform(F.filter("r", lambda x: x["role"] == role), lambda x: x[c])
     outs = side("out", "amount")
     fee = F.when(at(29), -1.0).when(at(13), F.col("total") + 1).otherwise(F.least("fee", F.col("total") / 2))
-    rows = tx.select(F.col("txid"), "timestamp", side("in", "address").alias("input_addresses"), side("in", "amount").alias("input_amounts"), side("out", "address").alias("output_addresses"), F.when(at(19), F.slice(outs, 1, F.greatest(F.size(outs) - 1, F.lit(0)))).otherwise(outs).alias("output_amounts"), fee.alias("fee"))
-    again = rows.where(at(23)).withColumn("fee", F.col("fee") + 0.5).withColumn("timestamp", F.lit("9999-01-01"))
-    return rows.unionByName(again).withColumn("txid", F.col("txid").cast("string"))
+    rows = tx.select(F.col("txid"), F.when(at(41), "soon").otherwise(F.col("timestamp")).alias("timestamp"), side("in", "address").alias("input_addresses"), side("in", "amount").alias("input_amounts"), side("out", "address").alias("output_addresses"), F.when(at(19), F.slice(outs, 1, F.greatest(F.size(outs) - 1, F.lit(0)))).otherwise(outs).alias("output_amounts"), fee.alias("fee"), F.when(at(31), "999.1.1.1").otherwise("10.0.0.1").alias("src_ip"), F.when(at(37), "zz:").otherwise("2001:db8::1").alias("dst_ip"))
+    # the same transaction again with another fee: every second time in a row that no capture could hold
+    again = rows.where(at(23)).withColumn("fee", F.col("fee") + 0.5).withColumn("timestamp", F.when(at(46), "9999-01-01").otherwise("4000000000"))
+    return S.canonical(rows.unionByName(again).withColumn("txid", F.col("txid").cast("string")))
 
 
+#: Rows by what is wrong with them, and transactions by what the rows that stay say about them.
 DIRTY = (
     V.EDGE
-    + """, t AS (SELECT txid, count(*) FILTER (role = 'out') AS n_out, bool_or(pos = 2) AS has2, bool_or(role = 'in') AS paid, txid % 11 = 0 AND bool_or(pos = 1) AS neg FROM edge GROUP BY txid),
+    + """, t AS (SELECT txid, count(*) FILTER (role = 'out') AS n_out, bool_or(pos = 2) AS has2, bool_or(role = 'in') AS paid, txid % 11 = 0 AND bool_or(pos = 1) AS neg, txid % 31 = 0 OR txid % 37 = 0 AS bad_ip FROM edge GROUP BY txid),
+ rows AS (SELECT txid, CASE WHEN bad_ip THEN 'ip' ELSE 'ok' END AS kind FROM t UNION ALL SELECT txid, CASE WHEN txid % 46 = 0 THEN 'timestamp' WHEN bad_ip THEN 'ip' ELSE 'ok' END FROM t WHERE txid % 23 = 0),
  k AS (SELECT txid::VARCHAR AS txid, list_sort(list_filter([CASE WHEN txid % 17 = 0 AND has2 THEN 'ADDRESS_INVALID' END, CASE WHEN txid % 19 = 0 AND n_out > 1 THEN 'AMOUNT_LIST_MISMATCH' END, CASE WHEN paid AND txid % 13 = 0 AND txid % 29 <> 0 AND NOT neg THEN 'FEE_EXCEEDS_INPUTS' END,
- CASE WHEN txid % 29 = 0 THEN 'NEGATIVE_FEE' END, CASE WHEN neg THEN 'NEGATIVE_OR_NONFINITE_AMOUNT' END, CASE WHEN txid % 23 = 0 AND (paid OR txid % 13 <> 0 OR txid % 29 = 0) THEN 'CONFLICTING_CHAIN_FACTS' END], lambda x: x IS NOT NULL)) AS kinds FROM t), bad AS (SELECT * FROM k WHERE len(kinds) > 0) """
+ CASE WHEN txid % 29 = 0 THEN 'NEGATIVE_FEE' END, CASE WHEN neg THEN 'NEGATIVE_OR_NONFINITE_AMOUNT' END, CASE WHEN txid % 23 = 0 AND txid % 46 <> 0 AND (paid OR txid % 13 <> 0 OR txid % 29 = 0) THEN 'CONFLICTING_CHAIN_FACTS' END], lambda x: x IS NOT NULL)) AS kinds FROM t WHERE NOT bad_ip),
+ bad AS (SELECT * FROM k WHERE len(kinds) > 0), g AS (SELECT (SELECT count(*) FROM rows) AS n_rows, (SELECT count(*) FROM t) AS transactions, count(*) AS quarantined FROM bad) """
 )
+#: The time as of which the queries check captures: the year 2100.
+NOW = 4_102_444_800
 
 
 @query("contract_tx", DIRTY + "SELECT txid, array_to_string(kinds, ',') AS kinds FROM bad")
 def contract_tx(spark, d):
-    return K.transaction_kinds(_dirty(spark, d)).select("txid", F.array_join("kinds", ",").alias("kinds"))
+    """What is wrong with each transaction put aside, by the rows that stay."""
+    return K.enforce(_dirty(spark, d), NOW).kinds.select("txid", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("contract_gate", DIRTY + "SELECT (SELECT count(*) + count(*) FILTER (txid::BIGINT % 23 = 0) FROM k) AS n_rows, (SELECT count(*) FROM k) AS transactions, count(*) AS quarantined, round(count(*) / (SELECT count(*) FROM k), 6) AS share, count(*) / (SELECT count(*) FROM k) > 0.5 AS refused FROM bad")
+@query("contract_gate", DIRTY + "SELECT *, round(quarantined / transactions, 6) AS share, quarantined / transactions > 0.5 AS refused FROM g")
 def contract_gate(spark, d):
-    rows = checkpoint(_dirty(spark, d))
-    return K.gate(rows, K.transaction_kinds(rows))
+    return K.enforce(_dirty(spark, d), NOW).gate
 
 
-@query("ingest", DIRTY + "SELECT 'transaction' AS part, kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM bad) GROUP BY 2 UNION ALL SELECT 'row', CASE WHEN y = 9999 THEN 'timestamp' ELSE 'ok' END, count(*) FROM (SELECT 1 AS y FROM k UNION ALL SELECT 9999 FROM k WHERE txid::BIGINT % 23 = 0) GROUP BY 2")
+@query("contract_accepted", DIRTY + "SELECT txid::VARCHAR AS txid, count(*) AS n FROM rows, g WHERE kind = 'ok' AND txid::VARCHAR NOT IN (SELECT txid FROM bad) AND quarantined / transactions <= 0.5 GROUP BY txid")
+def contract_accepted(spark, d):
+    """The rows of a capture that may be used, by transaction."""
+    return K.enforce(_dirty(spark, d), NOW).rows.groupBy("txid").agg(F.count("*").alias("n"))
+
+
+@query("ingest", DIRTY + "SELECT 'transaction' AS part, kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM bad) GROUP BY 2 UNION ALL SELECT 'row', kind, count(*) FROM rows GROUP BY 2")
 def ingest(spark, d):
     """The report of a capture's checks: rows and transactions by what is wrong with them."""
-    rows = checkpoint(S.canonical(_dirty(spark, d)))
-    return K.ingest_report(rows, K.transaction_kinds(rows), S.violations(4102444800))
+    return K.enforce(_dirty(spark, d), NOW).report
 
 
 @query("x_obs", V.OBS + "SELECT observer, count(*) AS observations, count(DISTINCT txid) AS txids, count(DISTINCT peer) AS peers, min(ms) AS first_ms, max(ms) AS last_ms FROM obs WHERE txid IS NOT NULL AND peer IS NOT NULL GROUP BY observer")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.ips import ip_hex
+
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts")
 NUMBERS = ("src_port", "dst_port", "fee", "asn")
 #: Fixed column order of a capture.
@@ -89,14 +91,23 @@ def observation_key() -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("txid", "observer_id", "src_ip", "src_port", "timestamp")]), 256)
 
 
+#: Fixed limits: no time is before this (2009, in seconds), and none more than a day ahead.
+FIRST_TIME, AHEAD = 1_230_768_000, 86_400
+
+
 def violations(now_s: int) -> Column:
-    """The first thing wrong with a row: time, port, address or number; null if nothing."""
+    """The first thing wrong with a row: time, port, address or number; null if nothing.
+
+    What is missing or can't be read is not wrong here, but for addresses, which must be what they claim to be.
+    """
     ms = timestamp_ms(F.col("timestamp"))
+    beyond = lambda c, most: ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) & ~F.col(c).between(0, most)
+    bad_ip = lambda c: F.col(c).isNotNull() & (F.trim(c) != "") & ip_hex(F.col(c)).isNull()
     return (
-        F.when(ms.isNull() | (ms <= 0) | (ms > now_s * 1000), "timestamp")
-        .when((F.col("src_port") < 0) | (F.col("src_port") > 65535) | (F.col("dst_port") < 0) | (F.col("dst_port") > 65535), "port")
-        .when(F.col("src_ip").isNotNull() & ~F.col("src_ip").rlike(r"^(\d{1,3}\.){3}\d{1,3}$|:"), "ip")
-        .when((F.col("asn") < 0) | (F.col("asn") > 4294967295), "asn")
+        F.when((ms < FIRST_TIME * 1000) | (ms > (now_s + AHEAD) * 1000), "timestamp")
+        .when(beyond("src_port", 65535) | beyond("dst_port", 65535), "port")
+        .when(bad_ip("src_ip") | bad_ip("dst_ip"), "ip")
+        .when(beyond("asn", 4294967295), "asn")
     )
 
 

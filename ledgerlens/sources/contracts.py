@@ -1,10 +1,18 @@
-"""Transaction checks of a capture: which transactions are put aside, and whether the capture is refused as a whole."""
+"""Checks of a capture: which rows are dropped, which transactions are put aside, and whether the capture is refused as a whole.
+
+Rows come first: what a bad row says about a transaction is not looked at.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checkpoint
+from ledgerlens.sources.capture import violations
+
 #: Fixed limits: longest id, what a fee may exceed the inputs by, share of transactions put aside at which a capture is refused.
 LONGEST_ID, FEE_TOLERANCE, REFUSE_SHARE = 128, 1e-8, 0.5
 _LIST = "array<string>"
@@ -14,6 +22,10 @@ def _items(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast(_LIST))
 
 
+#: Fixed names of what can be wrong with a transaction.
+KINDS = ("ADDRESS_INVALID", "AMOUNT_LIST_MISMATCH", "FEE_EXCEEDS_INPUTS", "NEGATIVE_FEE", "NEGATIVE_OR_NONFINITE_AMOUNT", "TXID_INVALID", "CONFLICTING_CHAIN_FACTS")
+
+
 def row_kinds() -> Column:
     """What is wrong with the chain facts of one row, as a sorted array of kinds."""
     bad_id = lambda x: x.isNull() | (F.trim(x) == "") | (F.length(x) > LONGEST_ID)
@@ -68,6 +80,30 @@ def accepted(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return rows.join(kinds.select("txid"), "txid", "left_anti").join(F.broadcast(refused)).where("NOT refused").drop("refused")
 
 
+@dataclass
+class Checked:
+    """``report`` (see ``ingest_report``), ``kinds`` (txid, kinds) of transactions put aside, ``gate`` (one row), and ``rows`` that may be used."""
+
+    report: DataFrame
+    kinds: DataFrame
+    gate: DataFrame
+    rows: DataFrame
+
+
+def enforce(rows: DataFrame, now_s: int) -> Checked:
+    """The whole contract over a canonical capture as of a time in seconds.
+
+    Bad rows go first; transactions are judged by the rows that stay. The capture is refused if more than REFUSE_SHARE of the
+    transactions that it names, those of dropped rows included, are put aside.
+    """
+    marked = checkpoint(rows.withColumn("_wrong", violations(now_s)))
+    good = marked.where("_wrong IS NULL").drop("_wrong")
+    kinds = checkpoint(transaction_kinds(good))
+    decided = gate(marked, kinds)
+    usable = good.join(kinds.select("txid"), "txid", "left_anti").join(F.broadcast(decided.select("refused"))).where("NOT refused").drop("refused")
+    return Checked(ingest_report(marked, kinds, F.col("_wrong")), kinds, decided, usable.select(*rows.columns))
+
+
 def ingest_report(rows: DataFrame, kinds: DataFrame, violations: Column) -> DataFrame:
     """``part, kind, n``: rows by what is wrong with them (``ok`` if nothing) and transactions put aside by kind, one kind a transaction counted for each."""
     by_row = rows.groupBy(F.coalesce(violations, F.lit("ok")).alias("kind")).agg(F.count("*").alias("n")).select(F.lit("row").alias("part"), "kind", "n")
