@@ -31,13 +31,16 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.hashing import mix, tidy
 from ledgerlens.llm.pretokens import distinct_spans, span_hashes
 from ledgerlens.llm.transducers import Transducer, build, compose, rows, union
+from ledgerlens.llm.transducers import phrases as listed
 from ledgerlens.session import checkpoint
 
 U = np.uint64
 #: Bits of a mask: 8 MB.
 MASK_BITS = 26
 #: Bytes of text that are looked at together; different hashes, and phrases, that a task holds before it sends them on.
-TEXT_BLOCK, HASHES_HELD, PHRASES_HELD = 2_000_000, 2_000_000, 400_000
+TEXT_BLOCK, HASHES_HELD, PHRASES_HELD = 1_500_000, 1_000_000, 800_000
+#: Splits of the input that make a shard, where there are enough: what a shard has often is counted before anything is sent.
+SHARD_SPLITS = 3
 #: Shards whose transducers are united in one step; frequent phrases for which there is a range.
 FAN_IN, RANGE_PHRASES = 256, 5_000
 #: Salts of a language's ranking before the last one.
@@ -180,28 +183,94 @@ def _shard_transducers(df: DataFrame, longest: int, masks, ranges: int) -> DataF
     """Transducers of the phrases that may be frequent, a row for each task, language and range of first words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = TaskContext.get().partitionId(), Counter()
-
-        def out():
-            grouped: dict[tuple[str, int], list] = {}
-            for (lang, part, words), n in held.items():
-                grouped.setdefault((lang, part), []).append((words, n))
-            made = [{"lang": lang, "part": part, "shard": shard, **build(iter(sorted(found))).columns()} for (lang, part), found in grouped.items()]
-            return pa.RecordBatch.from_pylist(made, schema=_SCHEMA)
-
+        shard, held = TaskContext.get().partitionId(), Shard(ranges)
         for batch in batches:
             for block in _blocks(batch, longest - 1):
-                for key, n in _phrases(block, longest, masks.value, ranges):
-                    held[key] += n
-                if len(held) > PHRASES_HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+                held.add(block, longest, masks.value)
+                if held.size > 2 * PHRASES_HELD:
+                    held.sum_up()
+                    if held.size > PHRASES_HELD:
+                        yield from held.transducers(shard)
+                        held = Shard(ranges)
+        held.sum_up()
+        if held.size:
+            yield from held.transducers(shard)
 
     return df.mapInArrow(tidy(run), GRAMS)
 
 
+class Shard:
+    """A task's counts of phrases, as places of their words in the task's own list."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.size = ranges, 0
+        self.place: dict[tuple[str, bytes], int] = {}
+        self.part: list[int] = []
+        self.counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first and second word, third and fourth, how often
+
+    def add(self, block: Block, longest: int, masks: list[np.ndarray]) -> None:
+        frequent = np.flatnonzero(_inside(masks[0], block.hash))
+        local, first = distinct_spans(block.bytes, block.starts[frequent], block.ends[frequent])
+        spelled = [block.bytes[block.starts[i] : block.ends[i]].tobytes() for i in frequent[first].tolist()]
+        own, found = pd.factorize(local * len(block.langs) + block.lang[frequent])
+        one = np.empty(len(found), dtype=np.int64)
+        one[own] = frequent
+        part = _range_of(block.hash[one], self.ranges).tolist()
+        places = np.empty(len(found), dtype=np.int64)
+        for i, (key, p) in enumerate(zip(found.tolist(), part, strict=True)):
+            word = (block.langs[key % len(block.langs)], spelled[key // len(block.langs)])
+            places[i] = at = self.place.setdefault(word, len(self.part))
+            if at == len(self.part):
+                self.part.append(p)
+        word = np.zeros(len(block.starts) + longest, dtype=np.int64)  # from 1; 0 is none
+        word[frequent] = places[own] + 1
+        for width in range(1, longest + 1):
+            h, there = block.phrases(width, word[: len(block.starts)] > 0)
+            if width > 1:
+                there &= _inside(masks[min(width, len(masks)) - 1], h)
+            at = np.flatnonzero(there)
+            w = [word[at + j] if j < width else np.int64(0) for j in range(4)]
+            self._keep((w[0] << 32) + w[1], np.zeros(len(at), dtype=np.int64) + (w[2] << 32) + w[3], None)
+
+    def _keep(self, head: np.ndarray, tail: np.ndarray, n: np.ndarray | None) -> None:
+        (a, heads), (b, tails) = pd.factorize(head), pd.factorize(tail)
+        number, found = pd.factorize(a * np.int64(max(1, len(tails))) + b)
+        summed = np.bincount(number, weights=n, minlength=len(found)).astype(np.int64)
+        self.counts.append((heads[found // max(1, len(tails))], tails[found % max(1, len(tails))], summed))
+        self.size += len(found)
+
+    def sum_up(self) -> None:
+        held, self.counts, self.size = self.counts, [], 0
+        if held:
+            self._keep(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def transducers(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """A transducer for each language and range; phrases are sorted by the places of their words in the sorted list."""
+        ((head, tail, n),) = self.counts
+        words = list(self.place)
+        order = sorted(range(len(words)), key=lambda i: words[i][1])
+        rank = np.empty(len(words) + 1, dtype=np.int64)
+        rank[np.array(order, dtype=np.int64) + 1] = np.arange(len(words))
+        rank[0] = -1
+        cols = [rank[c] for c in (head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF)]
+        langs = sorted({lang for lang, _ in words})
+        lang = np.array([langs.index(lang) for lang, _ in words], dtype=np.int64)[(head >> 32) - 1]
+        group = np.array(self.part, dtype=np.int64)[(head >> 32) - 1] * len(langs) + lang
+        by = np.lexsort((*reversed(cols), group))
+        width = sum((c >= 0).astype(np.int64) for c in cols)
+        spelled = [words[i][1].decode("utf-8", "surrogatepass") for i in order]
+        made, cuts = [], np.flatnonzero(np.diff(group[by])) + 1
+        for own in np.split(by, cuts):
+            rows = zip(*(c[own].tolist() for c in cols), width[own].tolist(), n[own].tolist(), strict=True)
+            found, key = build((r[: r[4]], r[5]) for r in rows), int(group[own[0]])
+            made.append({"lang": langs[key % len(langs)], "part": key // len(langs), "shard": shard, **found.columns(spelled)})
+            if len(made) == 64:
+                yield pa.RecordBatch.from_pylist(made, schema=_SCHEMA)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=_SCHEMA)
+
+
 _SCHEMA = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("base", pa.int64()), ("final", pa.list_(pa.int64())), ("arcs", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("word", pa.list_(pa.int32())), ("weight", pa.list_(pa.int64())), ("target", pa.list_(pa.int32()))])
 
 
@@ -209,35 +278,12 @@ def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
-def _phrases(block: Block, longest: int, masks: list[np.ndarray], ranges: int) -> Iterator[tuple[tuple[str, int, tuple[str, ...]], int]]:
-    """``(lang, range, words), count`` of a block's phrases whose hashes are in the masks."""
-    frequent = np.flatnonzero(_inside(masks[0], block.hash))
-    number = np.full(len(block.starts), -1, dtype=np.int64)
-    local, first = distinct_spans(block.bytes, block.starts[frequent], block.ends[frequent])
-    number[frequent] = local
-    spelled = [block.bytes[block.starts[i] : block.ends[i]].tobytes().decode("utf-8", "surrogatepass") for i in frequent[first].tolist()]
-    part = _range_of(block.hash, ranges)
-    for width in range(1, longest + 1):
-        h, there = block.phrases(width, number >= 0)
-        if width > 1:
-            there &= _inside(masks[min(width, len(masks)) - 1], h)
-        at = np.flatnonzero(there)
-        same = number[at] * len(block.langs) + block.lang[at]
-        for j in range(1, width):
-            same = pd.factorize(same)[0] * np.int64(len(first)) + number[at + j]
-        same, found = pd.factorize(same)
-        one = np.empty(len(found), dtype=np.int64)
-        one[same] = at
-        words = [[spelled[x] for x in number[one + j].tolist()] for j in range(width)]
-        yield from zip(zip([block.langs[x] for x in block.lang[one].tolist()], part[one].tolist(), zip(*words, strict=True)), np.bincount(same, minlength=len(found)).tolist())
-
-
 def _united(df: DataFrame, by: list[str], least: int = 0) -> DataFrame:
     """One transducer for all of a group, without phrases of fewer than ``least``."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [k.as_py() for k in key]
-        found = build((p, n) for p, n in union([Transducer.of(r) for r in rows(batches)]) if n >= least)
+        found = union([Transducer.of(r) for r in rows(batches)], least)
         yield pa.RecordBatch.from_pylist([{"lang": own[0], "part": own[1], "shard": own[2] if len(own) > 2 else 0, **found.columns()}], schema=_SCHEMA)
 
     return df.groupBy(*by).applyInArrow(run, GRAMS)
@@ -255,7 +301,7 @@ def _candidates(grams: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows(batches):
             found, path = [], {}
-            for words, n in union([Transducer.of(row)]):
+            for words, n in listed(Transducer.of(row)):
                 path[len(words)] = n
                 if len(words) > 1:
                     found.append((words, n, [path[k] for k in range(1, len(words))]))
@@ -298,7 +344,8 @@ def frequent_phrases(df: DataFrame, longest: int = 4, least: int = 30, text: str
     spark, own = df.sparkSession, df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     masks, shared, totals = [], None, None
     for widths in ((1,), (2,), (3, 4)):
-        counted = _hash_counts(own, widths, longest, shared).groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+        # tasks have summed already: dealt first, rows aren't gathered once more before the shuffle
+        counted = _hash_counts(own, widths, longest, shared).repartition("hash").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
         kept = checkpoint(counted.where((F.col("n") >= least) | F.col("hash").isNull()))
         totals = kept.where("hash IS NULL").select("lang", "n") if totals is None else totals
         masks.append(_mask(kept.where("hash IS NOT NULL")))
@@ -306,7 +353,11 @@ def frequent_phrases(df: DataFrame, longest: int = 4, least: int = 30, text: str
             shared.destroy()
         shared = spark.sparkContext.broadcast([m for m, _ in masks])
     ranges = max(8, -(-sum(n for _, n in masks) // RANGE_PHRASES))
-    grams, shards = _shard_transducers(own, longest, shared, ranges), max(1, own.rdd.getNumPartitions())
+    shards, cores = max(1, own.rdd.getNumPartitions()), spark.sparkContext.defaultParallelism
+    if shards > 2 * cores:
+        shards = max(2 * cores - 1, -(-shards // SHARD_SPLITS))
+        own = own.coalesce(shards)
+    grams = _shard_transducers(own, longest, shared, ranges)
     while shards > FAN_IN:
         grams = checkpoint(_united(grams.withColumn("shard", (F.col("shard") / FAN_IN).cast("int")), ["lang", "part", "shard"]))
         shards = -(-shards // FAN_IN)

@@ -25,11 +25,13 @@ class Transducer:
     def __init__(self, states: list[State], base: int = 0):
         self.states, self.base = states, base
 
-    def columns(self) -> dict:
-        words: dict[str, int] = {}
+    def columns(self, spelled: Sequence[str] | None = None) -> dict:
+        """The transducer's columns; with ``spelled``, arcs bear places in that list for words."""
+        words: dict = {}
         arcs = [a for _, own in self.states for a in own]
         word = [words.setdefault(a[0], len(words)) for a in arcs]
-        return {"base": self.base, "final": [f for f, _ in self.states], "arcs": [len(own) for _, own in self.states], "words": list(words), "word": word, "weight": [a[1] for a in arcs], "target": [a[2] for a in arcs]}
+        names = list(words) if spelled is None else [spelled[w] for w in words]
+        return {"base": self.base, "final": [f for f, _ in self.states], "arcs": [len(own) for _, own in self.states], "words": names, "word": word, "weight": [a[1] for a in arcs], "target": [a[2] for a in arcs]}
 
     @classmethod
     def of(cls, row: dict) -> Transducer:
@@ -38,6 +40,8 @@ class Transducer:
             states.append((final, tuple((words[w], c, t) for w, c, t in (next(arcs) for _ in range(n)))))
         return cls(states, row["base"])
 
+_END: State = (0, ())
+
 
 class Builder:
     """Builds a transducer from phrases in ascending order, each once."""
@@ -49,23 +53,29 @@ class Builder:
         self.open: list[list] = [[None, []]]  # along the last phrase: weight of phrases that end here, arcs so far
 
     def _freeze(self, down_to: int) -> None:
-        while len(self.open) > down_to:
-            final, arcs = self.open.pop()
-            common = min([a[1] for a in arcs] + ([] if final is None else [final]))
-            state = (None if final is None else final - common, tuple((w, c - common, t) for w, c, t in arcs))
-            number = self.known.setdefault(state, len(self.states))
-            if number == len(self.states):
-                self.states.append(state)
-            self.open[-1][1].append((self.last[len(self.open) - 1], common, number))
+        states, known, last, path = self.states, self.known, self.last, self.open
+        while len(path) > down_to:
+            final, arcs = path.pop()
+            if not arcs:  # a phrase's end that nothing goes on from: its count is all the weight there is
+                state, common = _END, final
+            else:
+                common = min([a[1] for a in arcs] if final is None else [a[1] for a in arcs] + [final])
+                state = (None if final is None else final - common, tuple([(w, c - common, t) for w, c, t in arcs]))
+            number = known.get(state)
+            if number is None:
+                number = known[state] = len(states)
+                states.append(state)
+            path[-1][1].append((last[len(path) - 1], common, number))
 
     def add(self, phrase: Phrase, count: int) -> None:
-        shared = 0
-        for a, b in zip(phrase, self.last):
+        last, shared = self.last, 0
+        for a, b in zip(phrase, last):
             if a != b:
                 break
             shared += 1
         self._freeze(shared + 1)
-        self.open += [[None, []] for _ in phrase[shared:]]
+        for _ in range(len(phrase) - shared):
+            self.open.append([None, []])
         self.open[-1][0] = count
         self.last = phrase
 
@@ -82,24 +92,53 @@ def build(counts: Iterator[tuple[Phrase, int]]) -> Transducer:
     return builder.finish()
 
 
-def union(automata: Sequence[Transducer]) -> Iterator[tuple[Phrase, int]]:
-    """All phrases of the automata in order, with their counts summed: a walk over sets of states."""
+def phrases(automaton: Transducer) -> Iterator[tuple[Phrase, int]]:
+    """All phrases in order, with their counts."""
+
+    def walk(number: int, so_far: int, path: Phrase):
+        final, arcs = automaton.states[number]
+        if final is not None:
+            yield path, so_far + final
+        for word, weight, target in arcs:
+            yield from walk(target, so_far + weight, (*path, word))
+
+    return walk(len(automaton.states) - 1, automaton.base, ()) if automaton.states else iter(())
 
-    def walk(here: list[tuple[list[State], int, int]], path: Phrase):
-        ways: dict[str, list] = {}
+
+def union(automata: Sequence[Transducer], least: int = 0) -> Transducer:
+    """The phrases of all automata with their counts summed, but those of fewer than ``least``: a walk over sets of states,
+    which makes the union's states on its way back, weights pushed towards the root and like states as one."""
+    states: list[State] = []
+    known: dict[State, int] = {}
+
+    def merged(here: list[tuple[list[State], int, int]]) -> State:
+        """What the states give together; weights as they come."""
+        ways: dict = {}
         total, ends = 0, False
-        for states, number, so_far in here:
-            final, arcs = states[number]
+        for own, number, so_far in here:
+            final, arcs = own[number]
             if final is not None:
                 total, ends = total + so_far + final, True
             for word, weight, target in arcs:
-                ways.setdefault(word, []).append((states, target, so_far + weight))
-        if ends:
-            yield path, total
+                if word in ways:
+                    ways[word].append((own, target, so_far + weight))
+                else:
+                    ways[word] = [(own, target, so_far + weight)]
+        arcs = []
         for word in sorted(ways):
-            yield from walk(ways[word], (*path, word))
-
-    return walk([(a.states, len(a.states) - 1, a.base) for a in automata if a.states], ())
+            final, on = merged(ways[word])
+            if final is None and not on:
+                continue
+            common = min([a[1] for a in on] + ([] if final is None else [final]))
+            state = (None if final is None else final - common, tuple([(w, c - common, t) for w, c, t in on]))
+            number = known.setdefault(state, len(states))
+            if number == len(states):
+                states.append(state)
+            arcs.append((word, common, number))
+        return (total if ends and total >= least else None), tuple(arcs)
+
+    root = merged([(a.states, len(a.states) - 1, a.base) for a in automata if a.states])
+    return Transducer([*states, root])
 
 
 def compose(asked: Transducer, counts: Transducer) -> Iterator[tuple[Phrase, int]]:

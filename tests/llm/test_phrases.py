@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import phrases, transducers
 from ledgerlens.llm.transducers import Transducer, build, compose, union
+from ledgerlens.llm.transducers import phrases as listed
 
 FIELDS = "text string, lang string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -98,8 +99,9 @@ def test_transducers_keep_counts_and_are_minimal():
     for seed in range(20):
         found = counts(seed, 120)
         made = build(iter(sorted(found.items())))
-        assert dict(union([made])) == found
-        assert dict(union([Transducer.of(made.columns())])) == found
+        assert list(listed(made)) == sorted(found.items())
+        assert dict(listed(Transducer.of(made.columns()))) == found
+        assert union([made]).states == made.states
         assert len(set(made.states)) == len(made.states)
         for final, arcs in made.states[:-1]:  # weights stand as near to the root as they can
             assert min([w for _, w, _ in arcs] + ([] if final is None else [final])) == 0
@@ -111,9 +113,11 @@ def test_union_sums_and_composition_looks_up():
     a, b, c = counts(1, 80), counts(2, 80), counts(3, 1)
     total = Counter(a) + Counter(b) + Counter(c)
     made = [build(iter(sorted(x.items()))) for x in (a, b, c, {})]
-    assert list(union(made)) == sorted(total.items())
+    assert list(listed(union(made))) == sorted(total.items())
+    assert list(listed(union(made, least=6))) == sorted((p, n) for p, n in total.items() if n >= 6)
+    assert union(made).states == build(iter(sorted(total.items()))).states
     asked = build((p, 0) for p in sorted({*list(a)[:30], ("z",), ("a", "z")}))
-    assert dict(compose(asked, build(union(made)))) == {p: total[p] for p in list(a)[:30]}
+    assert dict(compose(asked, union(made))) == {p: total[p] for p in list(a)[:30]}
     assert transducers.build(iter(())).states == [(None, ())]
 
 
