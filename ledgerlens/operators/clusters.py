@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.ranges import places
 from ledgerlens.operators.transactions import change_candidates, star_edges
+from ledgerlens.session import checkpoint
 
 
 def monthly_clusters(edge: DataFrame) -> DataFrame:
@@ -45,7 +49,11 @@ def cluster_index(clusters: DataFrame) -> DataFrame:
 
 def merge_counters(clusters: DataFrame) -> DataFrame:
     """Each step's addresses, clusters, merges and largest clusters."""
-    size = clusters.groupBy("step", "cluster_id").agg(F.count("*").alias("size")).groupBy("step", "size").agg(F.count("*").alias("n"))
+    return size_counters(clusters.groupBy("step", "cluster_id").agg(F.count("*").alias("size")).groupBy("step", "size").agg(F.count("*").alias("n")))
+
+
+def size_counters(size: DataFrame) -> DataFrame:
+    """The same from how many clusters of each size there are (``step, size, n``)."""
     best = W.partitionBy("step").orderBy(F.desc("size"))
     size = size.withColumn("second", F.when(F.col("n") > 1, F.col("size")).otherwise(F.lead("size").over(best))).withColumn("first", F.row_number().over(best) == 1)
     total = lambda c: F.sum(F.col("n") * c)
@@ -118,20 +126,91 @@ def history_clusters(edge: DataFrame) -> DataFrame:
     return edge.where("role = 'in'").select("address").distinct().join(found, "address", "left").select("address", F.coalesce("component_id", "address").alias("cluster_id"))
 
 
-def growing_clusters(edge: DataFrame, snapshot: str) -> DataFrame:
-    """``snapshot, address, cluster_id``: the clusters as they stand at the end of each snapshot, from all spending up to it.
+def spending_links(edge: DataFrame, change: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, links)`` with the step from which on they stand: ``vertex, at`` of spending addresses, ``src, dst, at`` of addresses
+    that spend together; with ``change`` also chosen change outputs and their links to the sender."""
+    ins = edge.where("role = 'in'")
+    links = star_edges(edge).select(F.col("center").alias("src"), F.col("address").alias("dst"), F.col("step").alias("at"))
+    nodes = ins.select(F.col("address").alias("vertex"), F.col("step").alias("at"))
+    if change:
+        sender = ins.groupBy("txid", "step").agg(F.min_by("address", F.struct("pos", "address")).alias("sender"))
+        chosen = checkpoint(change_candidates(edge).where("chosen").select("txid", "address").join(sender, "txid").where("address <> sender"))
+        links = links.unionByName(chosen.select(F.col("sender").alias("src"), F.col("address").alias("dst"), F.col("step").alias("at")))
+        nodes = nodes.unionByName(chosen.select(F.col("address").alias("vertex"), F.col("step").alias("at")))
+    return nodes.groupBy("vertex").agg(F.min("at").alias("at")), links.groupBy("src", "dst").agg(F.min("at").alias("at"))
+
+
+@dataclass
+class Growth:
+    """Clusters as they stand at the end of every step.
+
+    A vertex is in a block (``blocks``: era, vertex, block): what it belonged to before the era of a step, or itself. ``moved`` says
+    which cluster a block that the era's links touch is in at a step (at, block, cluster_id, weight); other blocks are clusters
+    as they are (``still``: era, block, weight, since).
+    """
 
-    All snapshots are clustered in one run, over edges repeated for each later snapshot.
+    blocks: DataFrame
+    moved: DataFrame
+    still: DataFrame
+    first: int
+    last: int
+    width: int
+
+    def sizes(self) -> DataFrame:
+        """``step, size, n``: how many clusters of each size there are at the end of each step."""
+        moved = self.moved.groupBy("at", "cluster_id").agg(F.sum("weight").alias("size")).groupBy(F.col("at").alias("step"), "size").agg(F.count("*").alias("n"))
+        end = F.least(self.first + (F.col("era") + 1) * self.width - 1, F.lit(self.last))
+        still = self.still.groupBy("era", "since", "weight").agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.col("since"), end.cast("int"))).alias("step"), F.col("weight").alias("size"), "n")
+        return moved.unionByName(still).groupBy("step", "size").agg(F.sum("n").alias("n"))
+
+    def size_of(self, asked: DataFrame) -> DataFrame:
+        """``vertex, at, size``: the size of a vertex's cluster at the end of a step at which it is there (``asked``: vertex, at)."""
+        own = asked.withColumn("era", _era("at", self.first, self.width)).join(self.blocks, ["era", "vertex"])
+        total = self.moved.groupBy("at", "cluster_id").agg(F.sum("weight").alias("size"))
+        moved = self.moved.join(total, ["at", "cluster_id"]).select("at", "block", "size")
+        alone = self.still.select("era", "block", F.col("weight").alias("alone"))
+        return own.join(moved, ["at", "block"], "left").join(alone, ["era", "block"], "left").select("vertex", "at", F.coalesce("size", "alone").alias("size"))
+
+
+def _era(c: str, first: int, width: int) -> Column:
+    return F.floor((F.col(c) - first) / width).cast("int")
+
+
+def growing_clusters(nodes: DataFrame, links: DataFrame, last: int | None = None) -> Growth | None:
+    """Clusters at the end of each step up to ``last`` (else that of the last new node), by all links that stand by then (see
+    ``spending_links``); None without nodes.
+
+    Steps are gathered in eras, about as many as an era has steps. First the clusters at the end of every era are found, all in
+    one run over links repeated for each later era; then those of every step, in one run over links between the clusters
+    before its era, repeated for each later step of the era alone. So a link is repeated twice the square root of the number of
+    steps and not for each later step, and clusters that an era leaves alone aren't repeated at all.
     """
-    ins = edge.where("role = 'in'")
-    last = ins.agg(F.max(snapshot)).first()[0]
-    node = lambda c: F.concat_ws(":", F.lpad(F.col("at").cast("string"), 6, "0"), c)
-    later = F.explode(F.sequence(F.col(snapshot), F.lit(last))).alias("at")
-    by_tx = ins.select("txid", F.col(snapshot).alias("_s")).distinct()
-    stars = star_edges(edge).join(by_tx, "txid").select("center", "address", F.col("_s").alias(snapshot)).groupBy("center", "address").agg(F.min(snapshot).alias(snapshot))
-    found = connected_components(stars.select("center", "address", later).select(node("center").alias("src"), node("address").alias("dst"))).withColumnRenamed("vertex", "node")
-    nodes = ins.groupBy("address").agg(F.min(snapshot).alias(snapshot)).select("address", later).withColumn("node", node("address"))
-    return nodes.join(found, "node", "left").select(F.col("at").alias(snapshot), "address", F.coalesce("component_id", "node").alias("cluster_id"))
+    span = nodes.agg(F.min("at"), F.max("at")).first()
+    if span[0] is None:
+        return None
+    first, last = span[0], max(span[1], last or span[1])
+    width = math.ceil(math.sqrt(last - first + 1))
+    eras = (last - first) // width + 1
+    tag = lambda at, c: F.concat_ws(":", F.lpad(F.col(at).cast("string"), 6, "0"), c)
+    nodes, links = checkpoint(nodes.withColumn("own", _era("at", first, width))), checkpoint(links.where("at IS NOT NULL").withColumn("own", _era("at", first, width)))
+
+    later = F.explode(F.sequence(F.col("own") + 1, F.lit(eras - 1))).alias("era")
+    found = connected_components(links.where(F.col("own") < eras - 1).select("src", "dst", later).select(tag("era", "src").alias("src"), tag("era", "dst").alias("dst"))).withColumnRenamed("vertex", "node")
+    before = nodes.where(F.col("own") < eras - 1).select("vertex", later).withColumn("node", tag("era", "vertex"))
+    old = before.join(found, "node", "left").select("era", "vertex", F.coalesce("component_id", "node").alias("block"), F.lit(first).cast("int").alias("since"))
+    fresh = nodes.select(F.col("own").alias("era"), "vertex", tag("own", "vertex").alias("block"), F.col("at").alias("since"))
+    blocks = checkpoint(old.select("era", "vertex", "block", (F.col("since") + F.col("era") * width).cast("int").alias("since")).unionByName(fresh.select("era", "vertex", "block", F.col("since").cast("int").alias("since"))))
+
+    at = lambda df, c: df.join(blocks.select(F.col("era").alias("own"), F.col("vertex").alias(c), F.col("block").alias(f"b_{c}")), ["own", c])
+    between = checkpoint(at(at(links, "src"), "dst").where("b_src <> b_dst").groupBy(F.col("own").alias("era"), F.col("b_src").alias("u"), F.col("b_dst").alias("v")).agg(F.min("at").alias("at")))
+    touched = between.select("era", F.col("u").alias("block")).union(between.select("era", "v")).distinct()
+    weights = checkpoint(blocks.groupBy("era", "block").agg(F.count("*").alias("weight"), F.min("since").alias("since")))
+    end = F.least(first + (F.col("era") + 1) * width - 1, F.lit(last)).cast("int")
+    steps = between.select("u", "v", F.explode(F.sequence(F.col("at"), end)).alias("at"))
+    joined = connected_components(steps.select(tag("at", "u").alias("src"), tag("at", "v").alias("dst"))).withColumnRenamed("vertex", "node")
+    there = weights.join(touched, ["era", "block"], "left_semi").select("block", "weight", F.explode(F.sequence(F.col("since"), end)).alias("at")).withColumn("node", tag("at", "block"))
+    moved = there.join(joined, "node", "left").select("at", "block", F.coalesce("component_id", "node").alias("cluster_id"), "weight")
+    return Growth(blocks.select("era", "vertex", "block"), checkpoint(moved), weights.join(touched, ["era", "block"], "left_anti"), first, last, width)
 
 
 def sign_flip_test(differences: DataFrame, by: str, most: int = 20) -> DataFrame:

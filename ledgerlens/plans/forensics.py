@@ -49,32 +49,50 @@ YEARS = (
 )
 
 
+@query("g_evolution")
+def g_evolution(spark, d):
+    """How the clusters grow from step to step, by common inputs and with change outputs added; SQL is too slow for all steps
+    (by years it is g_evolution_years, and tests compare all steps with brute force)."""
+    e = checkpoint(V.edges(spark, d))
+    last = e.where("role = 'in'").agg(F.max("step")).first()[0]
+    series = lambda mode, change: C.size_counters(C.growing_clusters(*C.spending_links(e, change), last).sizes()).withColumn("mode", F.lit(mode))
+    return series("inputs", False).unionByName(series("inputs+change", True))
+
+
+@query("w_cospend_asof")
+def w_cospend_asof(spark, d):
+    """The size of each address's cluster as it stood at the step of the address's own last spending; SQL as for g_evolution."""
+    return _as_of(checkpoint(V.edges(spark, d))).withColumnRenamed("at", "step")
+
+
+def _as_of(e):
+    own = e.where("role = 'in'").groupBy(F.col("address").alias("vertex")).agg(F.max("step").alias("at"))
+    return C.growing_clusters(*C.spending_links(e), own.agg(F.max("at")).first()[0]).size_of(own).withColumnRenamed("vertex", "address")
+
+
 def _by_year(spark, d):
     return V.edges(spark, d).withColumn("year", F.floor((F.col("step") - 1) / 12).cast("int"))
 
 
 @query(
-    "g_evolution",
+    "g_evolution_years",
     YEARS
     + """, s AS (SELECT snap, root, count(*) AS size FROM nodes JOIN grown USING (node) GROUP BY ALL) SELECT snap AS step, sum(size)::BIGINT AS addresses, count(*) AS clusters, (sum(size) - count(*))::BIGINT AS merges, max(size) AS largest, list_sort(list(size), 'DESC')[2] AS second, round(coalesce(sum(size) FILTER (size > 1), 0) / sum(size), 6) AS coverage FROM s GROUP BY snap""",
 )
-def g_evolution(spark, d):
+def g_evolution_years(spark, d):
     """How the clusters grow: one row a year, over all spending until its end."""
-    return C.merge_counters(C.growing_clusters(checkpoint(_by_year(spark, d)), "year").withColumnRenamed("year", "step"))
+    e = checkpoint(_by_year(spark, d).drop("step").withColumnRenamed("year", "step"))
+    return C.size_counters(C.growing_clusters(*C.spending_links(e), e.where("role = 'in'").agg(F.max("step")).first()[0]).sizes())
 
 
 @query(
-    "w_cospend_asof",
+    "w_cospend_years",
     YEARS
     + """, s AS (SELECT root, count(*) AS size FROM nodes JOIN grown USING (node) GROUP BY root), own AS (SELECT address, max(y) AS snap FROM yr WHERE role = 'in' GROUP BY 1) SELECT address, snap AS year, size FROM own JOIN nodes USING (address, snap) JOIN grown USING (node) JOIN s USING (root)""",
 )
-def w_cospend_asof(spark, d):
+def w_cospend_years(spark, d):
     """The size of each address's cluster as it stood in the year of the address's own last spending."""
-    e = checkpoint(_by_year(spark, d))
-    c = checkpoint(C.growing_clusters(e, "year"))
-    size = c.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    own = e.where("role = 'in'").groupBy("address").agg(F.max("year").alias("year"))
-    return c.join(own, ["address", "year"]).join(size, "cluster_id").select("address", "year", "size")
+    return _as_of(checkpoint(_by_year(spark, d).drop("step").withColumnRenamed("year", "step"))).withColumnRenamed("at", "year")
 
 
 @query("x_classes", WHOLE + ", k AS (SELECT root AS cluster_id, CASE WHEN p_size % 3 = 1 THEN 'BAD' WHEN p_size % 3 = 2 THEN 'GOOD' ELSE 'UNKNOWN' END AS class FROM whole LEFT JOIN part ON node = 'A' || p_partkey) SELECT cluster_id, class, count(*) AS n FROM k GROUP BY ALL")
