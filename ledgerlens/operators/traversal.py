@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import places
 from ledgerlens.session import checkpoint
 
 #: Rows of an id and a number that may be broadcast: about 40 MB as a hash table.
@@ -112,5 +113,5 @@ def trace(edge: DataFrame, start: DataFrame, direction: str = "both", hops: int
         nodes = nodes.unionByName(txs.groupBy("txid").agg(F.min("hop").alias("hop")).select(F.lit("transaction").alias("kind"), F.col("txid").cast("string").alias("node"), "hop"))
     nodes = checkpoint(nodes)
     n = nodes.count()
-    kept = nodes.orderBy("hop", "kind", "node").limit(max_nodes) if n > max_nodes else nodes
+    kept = places(nodes, ["hop", "kind", "node"]).where(F.col("place") <= max_nodes) if n > max_nodes else nodes
     return kept.select("kind", "node", "hop", F.lit(n).cast("long").alias("nodes"), F.lit(n > max_nodes).alias("truncated"))
