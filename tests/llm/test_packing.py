@@ -134,3 +134,8 @@ def test_query_on_a_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     n, tokens = check(rows, queries.op13_packing(spark, sf_dir), 2048)
     assert n <= 1.02 * tokens / 2048 + 1
+
+
+def test_places_take_one_shuffle_of_the_pieces(spark, sf_dir):
+    plan = queries.op13_packing(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("row_number()") == 1

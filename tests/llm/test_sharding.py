@@ -65,3 +65,8 @@ def test_repeated_ids_are_not_written(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "en", "x"), (1, "b", "en", "x")], "doc_id long, text string, lang string, source string")
     with pytest.raises(ValueError, match="unique"):
         sharding.write_shards(df, sharding.hilbert_shards(df, 2), str(tmp_path / "out"))
+
+
+def test_plan_is_native(spark, sf_dir):
+    plan = queries.op8_sharding(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
