@@ -50,3 +50,19 @@ def test_links_of_both_kinds_and_none(spark):
     assert sorted(map(tuple, nodes.collect())) == [("a", 2), ("b", 2), ("c", 4)]
     assert sorted(map(tuple, links.collect())) == [("a", "b", 2), ("b", "c", 4)]
     assert growing_clusters(nodes.limit(0), links.limit(0)) is None
+
+
+def test_links_are_in_one_run_of_their_era(spark, monkeypatch):
+    from ledgerlens.operators import clusters
+
+    rows, found = [], clusters.connected_components
+
+    def counted(edges, *ends):
+        rows.append(edges.count())
+        return found(edges, *ends)
+
+    monkeypatch.setattr(clusters, "connected_components", counted)
+    links = [(f"v{i}", f"v{i + 1}", 1) for i in range(0, 20, 2)]
+    g = growing_clusters(spark.createDataFrame([(f"v{i}", 1) for i in range(20)], NODE), spark.createDataFrame(links, LINK), 16)
+    assert {(r.step, r.size, r.n) for r in g.sizes().collect()} == {(s, 2, 10) for s in range(1, 17)}
+    assert sum(rows) <= len(links) * (1 + g.width)  # not again for each later era
