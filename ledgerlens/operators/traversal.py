@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ranges import places
-from ledgerlens.session import checkpoint
+from ledgerlens.session import checkpoint, dealt
 
 #: Rows of an id and a number that may be broadcast: about 40 MB as a hash table.
 BROADCAST_ROWS = 1_000_000
@@ -77,7 +77,8 @@ def personalised_rank(edge: DataFrame, seeds: DataFrame, restart: float = 0.3, r
 def money_moves(edge: DataFrame, direction: str = "both", hub: int = 200, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(address, txid, way)`` that leave an address and ``(txid, way, address)`` that arrive, downstream (1), upstream (-1) or both.
 
-    Transactions with more than ``hub`` rows are left out; moves lie in steps ``first`` to ``last``.
+    Transactions with more than ``hub`` rows are left out; moves lie in steps ``first`` to ``last``. Both are dealt by what they are
+    joined on into as many partitions as the edges had.
     """
     ways = {"downstream": (1,), "upstream": (-1,), "both": (1, -1)}[direction]
     size = edge.groupBy("txid").agg(F.count("*").alias("rows")).where(F.col("rows") <= hub).select("txid")
@@ -88,8 +89,9 @@ def money_moves(edge: DataFrame, direction: str = "both", hub: int = 200, first:
     if last is not None:
         timely = timely & (F.col("step") <= last)
     way = F.when(F.col("role") == "in", 1).otherwise(-1)
-    leaving = rows.where(timely).select("address", "txid", way.alias("way")).where(F.col("way").isin(*ways)).distinct()
-    arriving = rows.select("txid", (-way).alias("way"), "address").where(F.col("way").isin(*ways)).distinct()
+    n = rows.rdd.getNumPartitions()
+    leaving = dealt(rows.where(timely).select("address", "txid", way.alias("way")).where(F.col("way").isin(*ways)), n, "address").distinct()
+    arriving = dealt(rows.select("txid", (-way).alias("way"), "address").where(F.col("way").isin(*ways)), n, "txid", "way").distinct()
     return leaving, arriving
 
 
