@@ -1,7 +1,7 @@
 import random
 
 from ledgerlens.operators import components
-from ledgerlens.operators.components import connected_components, joined_components
+from ledgerlens.operators.components import connected_components, joined_components, parted_components
 
 
 def brute(edges):
@@ -56,3 +56,16 @@ def test_many_partitions(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 800)] + [(1000 + i, 1001 + i) for i in range(900)] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(900)]
     got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
     assert {r.vertex: r.component_id for r in got.collect()} == brute(edges)
+
+
+def test_parts_settled_in_tasks_and_by_rounds_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(p, f"v{rng.randrange(80)}", f"v{rng.randrange(80)}") for p in (1, 2, None) for _ in range(50)]
+    edges += [(3, f"c{i:03d}", f"c{i + 1:03d}") for i in range(200)] + [(4, "b", "b"), (4, None, "x"), (4, "a", "z"), (4, "a", "z")]
+    df = spark.createDataFrame(edges, "part int, src string, dst string")
+    want = {(p, v): c for p in (1, 2, 3, 4, None) for v, c in brute([(a, b) for q, a, b in edges if q == p]).items()}
+    for most in (1000, 100, 30):
+        monkeypatch.setattr(components, "PART_EDGES", most)
+        rows = parted_components(df, "part").collect()
+        assert {(r.part, r.vertex): r.component_id for r in rows} == want and len(rows) == len(want)
+    assert parted_components(df.limit(0), "part").count() == 0

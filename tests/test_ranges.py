@@ -31,3 +31,11 @@ def test_exact_quantiles(spark):
         assert np.allclose(r.quantiles, np.quantile([v for g, v in rows if g == r.g and v is not None], shares))
     assert np.allclose(ranges.exact_quantiles(df, "v", shares).first().quantiles, np.quantile([v for _, v in rows if v is not None], shares))
     assert ranges.exact_quantiles(df.where(F.lit(False)), "v", [0.5]).first().quantiles == [None]
+
+
+def test_places_shuffle_once(spark):
+    df = spark.createDataFrame([(f"k{i:04d}", i) for i in range(900)], "k string, n long")
+    plan = ranges.places(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Join")[0] and "LogicalRDD [k#" in plan
+    small = spark.createDataFrame([("b",), ("a",)], "k string")
+    assert [(r.k, r.place) for r in ranges.places(small, ["k"]).orderBy("place").collect()] == [("a", 1), ("b", 2)] and ranges.places(small.limit(0), ["k"]).count() == 0
