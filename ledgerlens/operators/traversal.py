@@ -6,14 +6,19 @@ the plan of hop n does not hold the hops before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.neighbourhoods import BLOCK, numbered
 from ledgerlens.operators.ranges import places
 from ledgerlens.session import checkpoint, dealt
 
-#: Rows of an id and a number that may be broadcast: about 40 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Addresses of a walk whose numbers go to all tasks as one vector: 128 MB.
+DENSE = 16_000_000
 
 
 def nearest_seed(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
@@ -46,32 +51,105 @@ def money_trace(edge: DataFrame, start: DataFrame, hops: int = 4, hub: int = 200
 def personalised_rank(edge: DataFrame, seeds: DataFrame, restart: float = 0.3, rounds: int = 40, hub: int = 500) -> DataFrame:
     """``address, score``: random walk with restart at the seeds (Haveliwala 2002), from address to transaction to address.
 
-    The scores of a round are broadcast up to BROADCAST_ROWS of them, so that the edges stay where they are, and joined by a
-    shuffle beyond. Transactions of more than ``hub`` addresses are left out. What a walk carries to an address that has no other
+    Addresses are numbered, and up to DENSE of them what they hold is one vector that goes to all tasks each round. Tasks hold whole transactions,
+    so that both halves of a step are done in them, and give back sums by blocks of addresses; beyond DENSE, steps are joins by a shuffle.
+    Transactions of more than ``hub`` addresses are left out. What a walk carries to an address that has no other
     transaction is lost and not dealt anew. Scores are shares of what a seed keeps for itself, at most 1; seeds have 1, and
     without a seed among the addresses all have 0. ``seeds``: vertex.
     """
     rows = checkpoint(edge.select("address", "txid").distinct())
+    marked = rows.select("address").distinct().join(seeds.select(F.col("vertex").alias("address")).distinct().withColumn("seed", F.lit(1)), "address", "left")
+    base = checkpoint(marked.select("address", F.coalesce("seed", F.lit(0)).alias("seed")))
+    facts = base.agg(F.sum("seed").alias("seeds"), F.count("*").alias("n")).first()
+    walked = _dense_walk if facts["n"] <= DENSE else _joined_walk
+    rank = walked(rows, base, float(max(facts["seeds"] or 0, 1)), restart, rounds, hub)
+    score = F.when(F.col("seed") == 1, 1.0).otherwise(F.least(F.col("r") * (facts["seeds"] or 0) / restart, F.lit(1.0)))
+    return rank.select("address", F.round(score, 6).alias("score"))
+
+
+def _dense_walk(rows: DataFrame, base: DataFrame, seeds: float, restart: float, rounds: int, hub: int) -> DataFrame:
+    """``address, seed, r`` after some rounds, from ``address, txid`` and ``address, seed``."""
+    sc = rows.sparkSession.sparkContext
+    known = checkpoint(numbered(base.select("address").where("address IS NOT NULL"), "address").join(base, "address"))
+    coded = rows.join(known.select("address", "id"), "address", "left").select("txid", "id")
+    whole = coded.repartitionByRange(sc.defaultParallelism, "txid").groupBy("txid").agg(F.count("*").alias("size"), F.collect_list("id").alias("ids")).where((F.col("size") <= hub) & (F.size("ids") > 0))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch.column(1), batch.column(0).to_numpy().astype(np.int32)
+            cells = [ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int32), sizes]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["ids", "counts", "sizes"])
+
+    walk = checkpoint(whole.select("size", "ids").mapInArrow(packed, "ids binary, counts binary, sizes binary"))
+    n = known.count()
+
+    def summed(parts: DataFrame) -> np.ndarray:
+        """The sum of the tasks' vectors, each given by blocks (``block, v``)."""
+
+        def add(group: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(v.as_buffer()) for v in group.column("v")], axis=0)
+            return pa.table({"block": group.column("block")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros(n)
+        for r in parts.groupBy("block").applyInArrow(add, "block int, v binary").toLocalIterator():
+            v = np.frombuffer(r["v"])
+            out[r["block"] * BLOCK : r["block"] * BLOCK + len(v)] = v
+        return out
+
+    def over(step) -> DataFrame:
+        """What ``step(ids, counts, sizes)`` gives to each of the ids, summed in each task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n)
+            for batch in batches:
+                for cells in zip(*batch.columns, strict=True):
+                    ids, counts, sizes = (np.frombuffer(c.as_buffer(), np.int32) for c in cells)
+                    np.add.at(total, ids, step(ids, counts, sizes))
+            for i, at in enumerate(range(0, n, BLOCK)):
+                if total[at : at + BLOCK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "v"])
+
+        return walk.mapInArrow(run, "block int, v binary")
+
+    degree = np.maximum(summed(over(lambda ids, counts, sizes: np.ones(len(ids)))), 1)
+    own = np.zeros(n)
+    for r in known.where("seed = 1").select("id").toLocalIterator():
+        own[r["id"]] = 1 / seeds
+    rank = own
+    for _ in range(rounds):
+        sent = sc.broadcast(rank / degree)
+
+        def step(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, sent=sent) -> np.ndarray:
+            held = np.add.reduceat(sent.value[ids], np.cumsum(counts) - counts)
+            return np.repeat(held / sizes, counts)
+
+        rank = restart * own + (1 - restart) * summed(over(step))
+        sent.unpersist()
+    last = sc.broadcast(rank)
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(last.value[batch.column(2).to_numpy()])], names=["address", "seed", "r"])
+
+    return known.select("address", "seed", "id").mapInArrow(given, "address string, seed int, r double")
+
+
+def _joined_walk(rows: DataFrame, base: DataFrame, seeds: float, restart: float, rounds: int, hub: int) -> DataFrame:
+    """The same with all steps as joins, for any number of addresses."""
     size = rows.groupBy("txid").agg(F.count("*").alias("size")).where(F.col("size") <= hub)
     walk = rows.join(size, "txid")
     degree = walk.groupBy("address").agg(F.count("*").alias("degree"))
     walk = checkpoint(walk.join(degree, "address").select("address", "txid", (1.0 / F.col("degree")).alias("leave"), (1.0 / F.col("size")).alias("arrive"))).persist()
-    marked = rows.select("address").distinct().join(seeds.select(F.col("vertex").alias("address")).distinct().withColumn("seed", F.lit(1)), "address", "left")
-    base = checkpoint(marked.select("address", F.coalesce("seed", F.lit(0)).alias("seed")))
-    n = base.agg(F.sum("seed")).first()[0] or 0
-    own = F.col("seed") / float(max(n, 1))
+    own = F.col("seed") / seeds
     rank = base.select("address", own.alias("r"))
-    few = {"address": base.count() <= BROADCAST_ROWS, "txid": size.count() <= BROADCAST_ROWS}
-    side = lambda df, key: F.broadcast(df) if few[key] else df
     for i in range(rounds):
-        tx = walk.join(side(rank, "address"), "address").groupBy("txid").agg(F.sum(F.col("r") * F.col("leave")).alias("held"))
-        flow = walk.join(side(tx, "txid"), "txid").groupBy("address").agg(F.sum(F.col("held") * F.col("arrive")).alias("flow"))
-        rank = base.join(side(flow, "address"), "address", "left").select("address", (restart * own + (1 - restart) * F.coalesce("flow", F.lit(0.0))).alias("r"))
+        tx = walk.join(rank, "address").groupBy("txid").agg(F.sum(F.col("r") * F.col("leave")).alias("held"))
+        flow = walk.join(tx, "txid").groupBy("address").agg(F.sum(F.col("held") * F.col("arrive")).alias("flow"))
+        rank = base.join(flow, "address", "left").select("address", (restart * own + (1 - restart) * F.coalesce("flow", F.lit(0.0))).alias("r"))
         if i % 4 == 3 or i == rounds - 1:
             rank = checkpoint(rank)
     walk.unpersist()
-    score = F.when(F.col("seed") == 1, 1.0).otherwise(F.least(F.col("r") * n / restart, F.lit(1.0)))
-    return rank.join(base, "address").select("address", F.round(score, 6).alias("score"))
+    return base.join(rank, "address").select("address", "seed", "r")
 
 
 def money_moves(edge: DataFrame, direction: str = "both", hub: int = 200, first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame]:

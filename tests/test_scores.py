@@ -51,6 +51,20 @@ def test_walk_of_two_addresses(spark):
     assert got["a"] == 1 and np.allclose([got["b"], got["c"]], np.minimum(1, r[1:] / 0.3), atol=1e-6) and got["h0"] == 0
 
 
+def test_walks_by_vectors_and_by_joins_are_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(t), f"v{a}" if a else None) for t, a in zip(rng.integers(0, 300, 900), rng.integers(0, 200, 900), strict=True)] + [(999, f"h{i}") for i in range(9)]
+    edge = spark.createDataFrame(rows, "txid long, address string")
+    seeds = spark.createDataFrame([("v1",), ("v7",), ("h2",)], "vertex string")
+    found = {}
+    for most in (0, 10**6):
+        monkeypatch.setattr(R, "DENSE", most)
+        got = R.personalised_rank(edge, seeds, rounds=6, hub=8)
+        found[most] = {r.address: r.score for r in got.collect()}
+    assert found[0] == found[10**6] and len(found[0]) == len({a for _, a in rows if a}) and found[0]["h2"] == 1 and found[0]["h1"] == 0
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_digests_and_differences(spark):
     a = spark.createDataFrame([(i, float(i), "x" if i % 2 else None) for i in range(50)], "k long, v double, s string")
     same = {r["column"]: r.digest for r in golden.column_digests(a.repartition(7), ["v", "s"]).collect()}
