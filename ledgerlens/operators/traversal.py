@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.neighbourhoods import BLOCK, numbered
 from ledgerlens.operators.ranges import places
-from ledgerlens.session import checkpoint, dealt
+from ledgerlens.session import checkpoint, dealt, lots
 
 #: Addresses of a walk whose numbers go to all tasks as one vector: 128 MB.
 DENSE = 16_000_000
@@ -72,7 +72,7 @@ def _dense_walk(rows: DataFrame, base: DataFrame, seeds: float, restart: float,
     sc = rows.sparkSession.sparkContext
     known = checkpoint(numbered(base.select("address").where("address IS NOT NULL"), "address").join(base, "address"))
     coded = rows.join(known.select("address", "id"), "address", "left").select("txid", "id")
-    whole = coded.repartitionByRange(sc.defaultParallelism, "txid").groupBy("txid").agg(F.count("*").alias("size"), F.collect_list("id").alias("ids")).where((F.col("size") <= hub) & (F.size("ids") > 0))
+    whole = coded.repartitionByRange(lots(rows.sparkSession, rows.count()), "txid").groupBy("txid").agg(F.count("*").alias("size"), F.collect_list("id").alias("ids")).where((F.col("size") <= hub) & (F.size("ids") > 0))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +80,7 @@ def _dense_walk(rows: DataFrame, base: DataFrame, seeds: float, restart: float,
             cells = [ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int32), sizes]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["ids", "counts", "sizes"])
 
-    walk = checkpoint(whole.select("size", "ids").mapInArrow(packed, "ids binary, counts binary, sizes binary"))
+    walk = checkpoint(whole.select("size", "ids").mapInArrow(packed, "ids binary, counts binary, sizes binary")).coalesce(sc.defaultParallelism)  # a vector of sums for each task
     n = known.count()
 
     def summed(parts: DataFrame) -> np.ndarray:
